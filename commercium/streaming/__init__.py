@@ -1,0 +1 @@
+"""The inventory holds batch jobs only, so this package has no operators."""
