@@ -36,14 +36,14 @@ def stage(df: DataFrame, label: str, cluster_by: str | None = None) -> DataFrame
     Eager.  Use it where several passes must see the very same values (ranks
     over summed floats, range slices) or would repeat an expensive join.
 
-    ``cluster_by`` brings equal values of a column into the same files, so later
-    groupings on it combine almost everything before their shuffle.  It is a
-    rebalance, not a repartition: adaptive execution splits a hot value over
-    several files and merges small ones.
+    ``cluster_by`` brings equal values of a column next to each other in the same
+    files, so later groupings on it combine almost everything before their
+    shuffle.  It is a rebalance, not a repartition: adaptive execution splits a
+    hot value over several files and merges small ones.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
     if cluster_by is not None:
-        df = df.hint("rebalance", cluster_by)
+        df = df.hint("rebalance", cluster_by).sortWithinPartitions(cluster_by)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
