@@ -1,0 +1,93 @@
+import datetime
+
+import pytest
+
+from commercium.plans import pricing
+
+D = datetime.date
+SCHEMA = (
+    "order_id string, order_date date, business_unit string, sku string, region string, channel string, "
+    "customer_tier string, list_price double, net_price double, discount_pct double, quantity bigint, revenue double"
+)
+
+
+def order(i, day, bu="U", sku="S", region="R", lp=100.0, np=90.0, disc=10.0, q=1):
+    return (f"O{i}", day, bu, sku, region, "Direct", "T1", lp, np, disc, q, np * q)
+
+
+def orders(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def test_zero_volume_gives_null_price(spark):
+    got = pricing.price_realization(orders(spark, [order(1, D(2024, 1, 1), q=0)])).first()
+    assert got["avg_sell_price"] is None and got["total_units"] == 0
+
+
+def test_spread_of_one_row_is_null(spark):
+    got = pricing.discount_matrix(orders(spark, [order(1, D(2024, 1, 1))])).first()
+    assert got["discount_variance"] is None and got["avg_discount_pct"] == 10.0
+
+
+def test_creep_counts_rows_not_quarters(spark):
+    days = [D(2023, 1, 1), D(2023, 4, 1), D(2023, 10, 1), D(2024, 1, 1), D(2024, 4, 1)]
+    rows = [order(i, day, disc=float(i)) for i, day in enumerate(days)]
+    got = {r["quarter"]: r["yoy_discount_change"] for r in pricing.discount_creep(orders(spark, rows)).collect()}
+    assert got[D(2024, 4, 1)] == 4.0 and got[D(2024, 1, 1)] is None
+    assert pricing.discount_creep(orders(spark, rows), changed_only=True).count() == 1
+
+
+def test_monthly_index_keeps_the_last_value(spark):
+    index = spark.createDataFrame(
+        [(D(2024, 1, 3), 1.0), (D(2024, 1, 20), 2.0), (D(2024, 2, 1), 5.0)], "observation_date date, ppi_index double"
+    )
+    got = {r["month"]: r["ppi_index"] for r in pricing.monthly_index(index).collect()}
+    assert got == {D(2024, 1, 1): 2.0, D(2024, 2, 1): 5.0}
+    rows = orders(spark, [order(1, D(2024, 1, 9)), order(2, D(2024, 3, 9))])
+    joined = pricing.orders_with_monthly_index(rows, index).collect()
+    assert [(r["order_id"], r["ppi_index"], r["quarter"]) for r in joined] == [("O1", 2.0, "2024Q1")]
+    assert tuple(pricing.index_match_rate(rows, index).first()) == (2, 1)
+    quarterly = pricing.orders_with_quarterly_index(rows, index).collect()
+    assert {r["order_id"]: r["ppi"] for r in quarterly} == {"O1": pytest.approx(8 / 3), "O2": pytest.approx(8 / 3)}
+
+
+def test_pareto_ends_at_one_hundred_and_breaks_ties_by_sku(spark):
+    rows = [order(1, D(2024, 1, 1), sku="B", np=50.0), order(2, D(2024, 1, 1), sku="A", np=50.0),
+            order(3, D(2024, 1, 1), sku="C", np=100.0)]
+    got = {r["sku"]: (r["revenue_rank"], r["cumulative_revenue_pct"]) for r in pricing.sku_pareto(orders(spark, rows)).collect()}
+    assert got == {"C": (1, 50.0), "A": (2, 75.0), "B": (2, 100.0)}
+
+
+def test_moving_average_of_two_quarters(spark):
+    rows = [order(i, D(2024, 3 * i + 1, 1), np=float(10 * (i + 1))) for i in range(3)]
+    got = [r["asp_2q_moving_avg"] for r in pricing.asp_moving_average(orders(spark, rows)).orderBy("quarter").collect()]
+    assert got == [10.0, 15.0, 25.0]
+
+
+def test_discount_profile_keeps_the_null_unit(spark):
+    rows = [order(1, D(2024, 1, 1), np=90.0), order(2, D(2024, 1, 1), np=70.0), order(3, D(2024, 1, 1), bu=None, np=80.0),
+            order(4, D(2024, 1, 1), lp=0.0)]
+    got = {r["business_unit"]: r for r in pricing.discount_profile(orders(spark, rows)).collect()}
+    assert got["U"]["orders"] == 2 and got["U"]["median_discount_pct"] == pytest.approx(20.0)
+    assert got[None]["max_discount_pct"] == pytest.approx(20.0)
+
+
+def test_top_half_keeps_at_least_one_sku(spark):
+    one = orders(spark, [order(1, D(2024, 1, 1), sku="A")])
+    assert pricing.top_half_sku_orders(one).count() == 1
+    rows = [order(i, D(2024, 1, 1), sku=s, np=p) for i, (s, p) in enumerate([("A", 10.0), ("B", 30.0), ("C", 20.0), ("B", 1.0)])]
+    assert {r["sku"] for r in pricing.top_half_sku_orders(orders(spark, rows)).collect()} == {"B"}
+
+
+def test_trim_is_exclusive_and_cap_is_inclusive(spark):
+    rows = [order(i, D(2024, 1, 1), q=i + 1) for i in range(21)]
+    assert pricing.trimmed_orders(orders(spark, rows)).agg({"quantity": "min"}).first()[0] == 3
+    capped = orders(spark, [order(1, D(2024, 1, 1), np=75.0), order(2, D(2024, 1, 1), np=50.0)])
+    assert [r["order_id"] for r in pricing.discount_capped_orders(capped, 25.0).collect()] == ["O1"]
+
+
+def test_offender_ties_share_a_rank(spark):
+    rows = [order(1, D(2024, 1, 1), sku="A", disc=30.0), order(2, D(2024, 1, 1), sku="B", disc=30.0), order(3, D(2024, 1, 1), sku="C", disc=5.0)]
+    got = {r["sku"]: r["discount_rank_in_region"] for r in pricing.discount_offenders(orders(spark, rows)).collect()}
+    assert got == {"A": 1, "B": 1, "C": 3}
+    assert pricing.top_discount_offenders(orders(spark, rows), 2).count() == 2
