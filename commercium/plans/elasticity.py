@@ -16,7 +16,15 @@ from pyspark.sql import functions as F
 
 from commercium.functions import count_if
 from commercium.operators.ordered import previous_in_order
-from commercium.operators.regression import Fit, category_levels, fixed_effects_ols, max_leverage, residuals
+from commercium.operators.regression import (
+    Fit,
+    Model,
+    category_levels,
+    column_means,
+    fit_models,
+    max_leverage,
+    residuals,
+)
 from commercium.plans.pricing import (
     discount_capped_orders,
     orders_with_monthly_index,
@@ -59,17 +67,15 @@ class Specification:
 
     name: str
     prepare: Callable[[DataFrame], DataFrame] = _same
-    x: tuple[str, ...] = (PRICE,)
-    categoricals: tuple[str, ...] = TIMED
-    absorb: str | None = "sku"
+    model: Model = Model((PRICE,), TIMED)
 
 
 SPECIFICATIONS = [
-    Specification("1. Baseline pooled OLS", categoricals=(), absorb=None),
-    Specification("2. SKU fixed effects", categoricals=()),
-    Specification("3. SKU + quarter fixed effects", categoricals=("quarter",)),
+    Specification("1. Baseline pooled OLS", model=Model((PRICE,), absorb=False)),
+    Specification("2. SKU fixed effects", model=Model((PRICE,))),
+    Specification("3. SKU + quarter fixed effects", model=Model((PRICE,), ("quarter",))),
     Specification("4. SKU + time + commercial controls"),
-    Specification("5. SKU + PPI + commercial controls", x=(PRICE, COST), categoricals=COMMERCIAL),
+    Specification("5. SKU + PPI + commercial controls", model=Model((PRICE, COST), COMMERCIAL)),
     Specification("6. Winsorised price and quantity", lambda d: winsorised(d, [PRICE, VOLUME])),
     Specification("7. Excluding discounts above 30%", discount_capped_orders),
     Specification("8. List-price sensitivity", _list_price_as_price),
@@ -134,21 +140,22 @@ def robustness_results(
 ) -> DataFrame:
     """Fit every specification on the prepared quarterly data; one row each.
 
-    The fits are independent, so a few run at a time and share the cluster.
+    Specifications of the same sample share their passes.  The samples are
+    independent, so a few are fitted at a time and share the cluster.
     """
     levels = category_levels(data, TIMED)
-    means = data.agg(*[F.avg(c).alias(c) for c in (PRICE, VOLUME, COST)]).first()
-    centres = {c: means[c] for c in (PRICE, VOLUME, COST)} if means[VOLUME] is not None else None
+    centres = column_means(data, [PRICE, VOLUME, COST])
+    samples: dict[Callable, list[Specification]] = {}
+    for spec in specifications:
+        samples.setdefault(spec.prepare, []).append(spec)
 
-    def fit(spec: Specification) -> tuple:
-        estimated = fixed_effects_ols(
-            spec.prepare(data), VOLUME, spec.x, spec.absorb, spec.categoricals, "sku", levels, centres
-        )
-        return result_row(spec.name, estimated)
+    def fit(prepare: Callable[[DataFrame], DataFrame]) -> dict[str, Fit]:
+        models = {spec.name: spec.model for spec in samples[prepare]}
+        return fit_models(prepare(data), VOLUME, models, "sku", levels, centres)
 
     with ThreadPoolExecutor(max_workers=concurrent_fits) as pool:
-        rows = list(pool.map(fit, specifications))
-    return _results(data.sparkSession, rows)
+        fits = {name: f for group in pool.map(fit, samples) for name, f in group.items()}
+    return _results(data.sparkSession, [result_row(s.name, fits[s.name]) for s in specifications])
 
 
 def specification_result(data: DataFrame, name: str) -> DataFrame:
@@ -156,20 +163,20 @@ def specification_result(data: DataFrame, name: str) -> DataFrame:
     return robustness_results(data, [s for s in SPECIFICATIONS if s.name == name])
 
 
-def fit_model_a(data: DataFrame) -> Fit:
-    """Price with SKU, quarter and commercial effects."""
-    return fixed_effects_ols(data, VOLUME, (PRICE,), "sku", TIMED)
+# Model A has price with SKU, quarter and commercial effects; model B trades the
+# quarter for the cost index.
+HEADLINE_MODELS = {MODEL_A: Model((PRICE,), TIMED), MODEL_B: Model((PRICE, COST), COMMERCIAL)}
 
 
-def fit_model_b(data: DataFrame) -> Fit:
-    """Price and cost index with SKU and commercial effects; the quarter is left out."""
-    return fixed_effects_ols(data, VOLUME, (PRICE, COST), "sku", COMMERCIAL)
+def headline_fits(data: DataFrame, names: Sequence[str] = (MODEL_A, MODEL_B)) -> dict[str, Fit]:
+    """Headline models on the prepared monthly data, in shared passes."""
+    return fit_models(data, VOLUME, {n: HEADLINE_MODELS[n] for n in names})
 
 
 def model_terms(spark: SparkSession, name: str, fit: Fit) -> DataFrame:
     """Coefficient table of the continuous terms of a model."""
     rows = []
-    for term in fit.design.x:
+    for term in fit.model.x:
         t = fit.term(term)
         rows.append(
             (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from commercium.functions import month_start, quarter_label, quarter_start, ratio, round_half_up
+from commercium.functions import clip, month_start, quarter_label, quarter_start, ratio, round_half_up
 from commercium.operators.ordered import quantiles, running_totals, top_ranked, value_ranks
 from commercium.sources.cleaning import derive_discount, derive_revenue
 from commercium.sources.staging import stage
@@ -261,9 +261,12 @@ def top_half_sku_orders(orders: DataFrame, fraction: float = 0.5) -> DataFrame:
 
 
 def trimmed_orders(orders: DataFrame, lower: float = 0.05) -> DataFrame:
-    """Orders above the given quantile of quantity (exclusive)."""
-    cut = quantiles(orders, "quantity", {"cut": lower}).scalar()
-    return orders.where(F.col("quantity") > cut)
+    """Orders above the given quantile of quantity (exclusive).
+
+    The cut is one number, read once: models pass over the result repeatedly.
+    """
+    cut = quantiles(orders, "quantity", {"cut": lower}).first()["cut"]
+    return orders.where(F.col("quantity") > F.lit(cut))
 
 
 def discount_capped_orders(orders: DataFrame, cap_pct: float = 30.0) -> DataFrame:
@@ -275,10 +278,10 @@ def discount_capped_orders(orders: DataFrame, cap_pct: float = 30.0) -> DataFram
 
 
 def winsorised(df: DataFrame, columns: list[str], tail: float = 0.01) -> DataFrame:
-    """Clamp each column to its own lower and upper tail quantile."""
+    """Clamp each column to its own lower and upper tail quantile, read once."""
     clamped = {}
     for c in columns:
-        bounds = quantiles(df, c, {"low": tail, "high": 1 - tail})
-        low, high = bounds.select("low").scalar(), bounds.select("high").scalar()
-        clamped[c] = F.when(F.col(c) < low, low).when(F.col(c) > high, high).otherwise(F.col(c))
+        low, high = quantiles(df, c, {"low": tail, "high": 1 - tail}).first()
+        if low is not None:
+            clamped[c] = clip(F.col(c), low, high)
     return df.withColumns(clamped)

@@ -501,22 +501,18 @@ def overall_scenarios_selected(spark, root):
 
 @query
 def elasticity_model_a(spark, root):
-    fit = elasticity.fit_model_a(_monthly_sample(spark, root))
-    return rounded(elasticity.model_terms(spark, elasticity.MODEL_A, fit), 6)
+    fits = elasticity.headline_fits(_monthly_sample(spark, root), [elasticity.MODEL_A])
+    return rounded(elasticity.model_terms(spark, elasticity.MODEL_A, fits[elasticity.MODEL_A]), 6)
 
 
 @query
 def elasticity_model_b(spark, root):
-    fit = elasticity.fit_model_b(_monthly_sample(spark, root))
-    return rounded(elasticity.model_terms(spark, elasticity.MODEL_B, fit), 6)
+    fits = elasticity.headline_fits(_monthly_sample(spark, root), [elasticity.MODEL_B])
+    return rounded(elasticity.model_terms(spark, elasticity.MODEL_B, fits[elasticity.MODEL_B]), 6)
 
 
 def _comparison(spark, root):
-    sample = _monthly_sample(spark, root)
-    fits = {
-        elasticity.MODEL_A: elasticity.fit_model_a(sample),
-        elasticity.MODEL_B: elasticity.fit_model_b(sample),
-    }
+    fits = elasticity.headline_fits(_monthly_sample(spark, root))
     return elasticity.model_comparison(spark, fits)
 
 
@@ -533,13 +529,15 @@ def unit_price_impact(spark, root):
 @query
 def model_diagnostics(spark, root):
     sample = _monthly_sample(spark, root)
-    return rounded(elasticity.model_diagnostics(sample, elasticity.fit_model_a(sample)), 6)
+    fit = elasticity.headline_fits(sample, [elasticity.MODEL_A])[elasticity.MODEL_A]
+    return rounded(elasticity.model_diagnostics(sample, fit), 6)
 
 
 @query
 def model_fit_stats(spark, root):
     sample = _monthly_sample(spark, root)
-    return rounded(elasticity.model_fit_stats(sample, elasticity.fit_model_a(sample), _ORDER_KEY), 4)
+    fit = elasticity.headline_fits(sample, [elasticity.MODEL_A])[elasticity.MODEL_A]
+    return rounded(elasticity.model_fit_stats(sample, fit, _ORDER_KEY), 4)
 
 
 # --- competitive and decisions -----------------------------------------------------

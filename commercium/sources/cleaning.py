@@ -23,7 +23,7 @@ def _usable(required: Sequence[str], positive: Sequence[str]):
         condition = condition & F.col(c).isNotNull()
     for c in positive:
         condition = condition & (F.col(c) > 0)
-    return F.coalesce(condition, F.lit(False))
+    return condition
 
 
 def keep_usable(
@@ -42,8 +42,9 @@ def keep_usable(
         df = df.observe(
             observation,
             F.count(F.lit(1)).alias("rows_read"),
-            count_if(~usable).alias("rows_removed"),
+            count_if(~F.coalesce(usable, F.lit(False))).alias("rows_removed"),
         )
+    # Without a coalesce around it the condition reaches the file scan.
     return df.where(usable)
 
 
@@ -55,7 +56,7 @@ def removal_counts(
     return df.agg(
         F.count(F.lit(1)).alias("rows_read"),
         count_if(usable).alias("rows_kept"),
-        count_if(~usable).alias("rows_removed"),
+        count_if(~F.coalesce(usable, F.lit(False))).alias("rows_removed"),
     )
 
 

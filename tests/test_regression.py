@@ -67,6 +67,22 @@ def test_equals_the_full_dummy_regression(spark, x, categoricals, absorb):
         assert regression.max_leverage(df, fit).first()[0] == pytest.approx(leverage, rel=1e-8)
 
 
+def test_models_of_one_sample_share_passes_and_agree_with_single_fits(spark):
+    df = spark.createDataFrame(panel(), NAMES)
+    models = {
+        "pooled": regression.Model(("p",), absorb=False),
+        "within": regression.Model(("p",), ("quarter",)),
+        "wide": regression.Model(("p", "c"), ("quarter", "region")),
+    }
+    together = regression.fit_models(df, "y", models, "sku")
+    for name, model in models.items():
+        alone = regression.fit_models(df, "y", {"only": model}, "sku")["only"]
+        a, b = together[name].term("p"), alone.term("p")
+        assert a == {k: pytest.approx(v, rel=1e-9) for k, v in b.items()}
+        assert together[name].parameters == alone.parameters
+        assert together[name].rss == pytest.approx(alone.rss, rel=1e-10)
+
+
 def test_collinear_regressor_lowers_the_rank(spark):
     rows = [(*r[:4], 2 * r[3], r[5]) for r in panel()]
     df = spark.createDataFrame(rows, NAMES)
@@ -111,9 +127,9 @@ PUBLISHED = [
 
 @pytest.mark.parametrize("b, p, low, high, r2, adjusted, k", PUBLISHED)
 def test_inference_reproduces_published_figures(b, p, low, high, r2, adjusted, k):
-    design = regression.Design("y", ("p",), (), "sku", "sku", {}, {"p": 0.0, "y": 0.0})
+    design = regression.Design("y", ("p",), (), "sku", {}, {"p": 0.0, "y": 0.0})
     se = (high - low) / 2 / regression.NORMAL_95
-    fit = regression.Fit(design, np.array([b]), np.eye(1), np.array([[se**2]]), 4787, k, 40, 1 - r2, 1.0, 0.0, 0.0)
+    fit = regression.Fit(design, regression.Model(("p",)), np.array([b]), np.eye(1), np.array([[se**2]]), 4787, k, 40, 1 - r2, 1.0, 0.0, 0.0)
     term = fit.term("p")
     assert term["p_value"] == pytest.approx(p, rel=1e-9)
     assert (term["ci_low"], term["ci_high"]) == (pytest.approx(low), pytest.approx(high))
@@ -124,8 +140,8 @@ def test_likelihood_criteria_reproduce_published_figures():
     # Log-likelihood 158.93 with 4787 rows and 53 parameters gives AIC -211.9, BIC 131.2.
     n = 4787
     rss = n / (2 * math.pi) * math.exp(-2 * 158.93 / n - 1)
-    design = regression.Design("y", ("p",), (), "sku", "sku", {}, {"p": 0.0, "y": 0.0})
-    fit = regression.Fit(design, np.zeros(1), np.eye(1), np.eye(1), n, 53, 40, rss, 1.0, 0.0, 0.0)
+    design = regression.Design("y", ("p",), (), "sku", {}, {"p": 0.0, "y": 0.0})
+    fit = regression.Fit(design, regression.Model(("p",)), np.zeros(1), np.eye(1), np.eye(1), n, 53, 40, rss, 1.0, 0.0, 0.0)
     assert fit.log_likelihood == pytest.approx(158.93)
     assert round(fit.aic, 1) == -211.9 and round(fit.bic, 1) == 131.2
 
