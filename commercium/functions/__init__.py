@@ -1,8 +1,10 @@
 from commercium.functions.scalars import (
+    amount_label,
     clip,
     count_if,
     month_start,
     null_safe_equal,
+    percent_label,
     quarter_label,
     quarter_start,
     ratio,
@@ -11,10 +13,12 @@ from commercium.functions.scalars import (
 )
 
 __all__ = [
+    "amount_label",
     "clip",
     "count_if",
     "month_start",
     "null_safe_equal",
+    "percent_label",
     "quarter_label",
     "quarter_start",
     "ratio",

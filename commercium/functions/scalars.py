@@ -48,6 +48,16 @@ def round_half_even(value: Column, digits: int) -> Column:
     return F.rint(value * F.lit(scale)) / F.lit(scale)
 
 
+def percent_label(value: Column) -> Column:
+    """Signed whole percent for display, such as ``+5%``."""
+    return F.format_string("%+.0f%%", value)
+
+
+def amount_label(value: Column) -> Column:
+    """Amount with thousands separators and two decimals for display."""
+    return F.format_number(value, 2)
+
+
 def count_if(condition: Column) -> Column:
     """Rows for which the condition holds; 0 for an empty group, never NULL."""
     return F.count(F.when(condition, F.lit(1)))

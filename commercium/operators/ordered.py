@@ -92,9 +92,9 @@ def value_ranks(
     within: Sequence[str] = (),
     rank: str | None = None,
     dense_rank: str | None = None,
-    ascending: bool = False,
+    nulls_first: bool = False,
 ) -> DataFrame:
-    """Competition and/or dense rank of ``value`` inside each ``within`` group.
+    """Competition and/or dense rank by descending ``value`` inside each ``within`` group.
 
     The rank depends on the value alone, so it is computed on distinct values
     and joined back; a hot value meets exactly one lookup row and adaptive
@@ -104,7 +104,7 @@ def value_ranks(
     within = list(within)
     counts = df.groupBy(*within, value).agg(F.count(F.lit(1)).alias("_rows"))
     counts = counts.withColumn("_values", F.lit(1).cast("long"))
-    order = F.col(value).asc() if ascending else F.col(value).desc()
+    order = F.col(value).desc_nulls_first() if nulls_first else F.col(value).desc_nulls_last()
     ranked = running_totals(counts, [order], ["_rows", "_values"], within)
     wanted = []
     if rank:
@@ -121,14 +121,14 @@ def top_ranked(
     within: Sequence[str] = (),
     rank: str = "rank",
 ) -> DataFrame:
-    """Rows whose competition rank by descending ``value`` is at most ``k``, ties kept.
+    """Rows whose competition rank by descending ``value``, NULL first, is at most ``k``.
 
-    Only the ``k`` best distinct values of a group can hold such a rank, so the
+    Ties are kept.  Only the ``k`` best distinct values of a group can hold such a rank, so the
     window below sees at most ``k`` rows per group after the pushed group limit.
     """
     within = list(within)
     counts = df.groupBy(*within, value).agg(F.count(F.lit(1)).alias("_rows"))
-    best = Window.partitionBy(*within).orderBy(F.col(value).desc_nulls_last())
+    best = Window.partitionBy(*within).orderBy(F.col(value).desc_nulls_first())
     leaders = counts.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k)
     before = best.rowsBetween(Window.unboundedPreceding, -1)
     lookup = (

@@ -11,6 +11,7 @@ from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -154,7 +155,8 @@ def robustness_results(
         return fit_models(prepare(data), VOLUME, models, "sku", levels, centres)
 
     with ThreadPoolExecutor(max_workers=concurrent_fits) as pool:
-        fits = {name: f for group in pool.map(fit, samples) for name, f in group.items()}
+        groups = pool.map(inheritable_thread_target(data.sparkSession)(fit), samples)
+        fits = {name: f for group in groups for name, f in group.items()}
     return _results(data.sparkSession, [result_row(s.name, fits[s.name]) for s in specifications])
 
 

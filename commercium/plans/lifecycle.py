@@ -150,7 +150,7 @@ def aos_summary(scored: DataFrame) -> DataFrame:
             _revenue(),
             *_status_counts("green_count", "amber_count", "red_count"),
         )
-        .orderBy(F.desc("avg_aos"))
+        .orderBy(F.desc_nulls_first("avg_aos"))
     )
 
 
@@ -166,7 +166,7 @@ def otd_analysis(scored: DataFrame) -> DataFrame:
             count_if(F.col("actual_otd_pct") >= ON_TIME_PCT).alias("on_time_initiatives"),
             F.count(F.lit(1)).alias("total_records"),
         )
-        .orderBy("quarter", "business_unit")
+        .orderBy(F.asc_nulls_last("quarter"), F.asc_nulls_last("business_unit"))
     )
 
 
@@ -190,7 +190,7 @@ def backlog_analysis(scored: DataFrame) -> DataFrame:
     """
     rows = scored.select(*_BACKLOG_COLUMNS)
     rest = [c for c in _BACKLOG_COLUMNS if c not in ("region", "backlog_days")]
-    order = [F.col("backlog_days").desc(), *[F.col(c).asc() for c in rest]]
+    order = [F.col("backlog_days").desc_nulls_first(), *[F.col(c).asc() for c in rest]]
     return number_copies(rows, order, "backlog_rank", ["region"])
 
 
@@ -208,7 +208,7 @@ def lifecycle_analysis(scored: DataFrame) -> DataFrame:
             _mean("gross_margin_pct").alias("avg_margin"),
             _revenue(),
         )
-        .orderBy(F.desc("avg_aos"))
+        .orderBy(F.desc_nulls_first("avg_aos"))
     )
 
 
@@ -235,7 +235,7 @@ def region_dashboard(scored: DataFrame) -> DataFrame:
             _mean("backlog_days").alias("avg_backlog"),
             _revenue(),
         )
-        .orderBy(F.desc("avg_aos"))
+        .orderBy(F.desc_nulls_first("avg_aos"))
     )
 
 
@@ -248,7 +248,7 @@ def owner_dashboard(scored: DataFrame) -> DataFrame:
             _mean("actual_otd_pct").alias("avg_otd"),
             _revenue(),
         )
-        .orderBy(F.desc("avg_aos"))
+        .orderBy(F.desc_nulls_first("avg_aos"))
     )
 
 

@@ -1,4 +1,7 @@
-"""Pricing views: realisation, discount governance, cost index and concentration."""
+"""Pricing views: realisation, discount governance, cost index and concentration.
+
+The SQL reports sort NULL as the largest value; orders and ranks here say so.
+"""
 
 from __future__ import annotations
 
@@ -28,7 +31,8 @@ def price_realization(orders: DataFrame) -> DataFrame:
 def price_realization_preview(orders: DataFrame, rows: int = 50) -> DataFrame:
     """First rows of the realisation view by quarter and business unit."""
     view = price_realization(orders)
-    return view.orderBy("quarter", "business_unit", "region", "channel", "customer_tier").limit(rows)
+    keys = ["quarter", "business_unit", "region", "channel", "customer_tier"]
+    return view.orderBy(*[F.asc_nulls_last(k) for k in keys]).limit(rows)
 
 
 def discount_matrix(orders: DataFrame) -> DataFrame:
@@ -43,7 +47,7 @@ def discount_matrix(orders: DataFrame) -> DataFrame:
             round_half_up(F.stddev_samp("discount_pct"), 2).alias("discount_variance"),
             F.count(F.lit(1)).alias("order_count"),
         )
-        .orderBy(F.desc("avg_discount_pct"))
+        .orderBy(F.desc_nulls_first("avg_discount_pct"))
     )
 
 
@@ -81,7 +85,7 @@ def price_vs_index(orders: DataFrame, index: DataFrame) -> DataFrame:
             round_half_up(F.col("avg_list_price"), 2).alias("avg_list_price"),
             round_half_up(F.col("ppi_index"), 2).alias("ppi_index"),
         )
-        .orderBy("business_unit", "quarter")
+        .orderBy(F.asc_nulls_last("business_unit"), F.asc_nulls_last("quarter"))
     )
 
 
@@ -138,7 +142,7 @@ def discount_creep(orders: DataFrame, changed_only: bool = False) -> DataFrame:
     view = quarterly.withColumn("yoy_discount_change", F.col("avg_discount") - earlier)
     if changed_only:
         view = view.where(F.col("yoy_discount_change").isNotNull())
-    return view.orderBy("region", "quarter")
+    return view.orderBy(F.asc_nulls_last("region"), F.asc_nulls_last("quarter"))
 
 
 def _sku_discounts(orders: DataFrame) -> DataFrame:
@@ -156,7 +160,11 @@ def _sku_discounts(orders: DataFrame) -> DataFrame:
 def discount_offenders(orders: DataFrame) -> DataFrame:
     """SKUs ranked by average discount inside their region."""
     return value_ranks(
-        _sku_discounts(orders), "avg_discount_pct", ["region"], rank="discount_rank_in_region"
+        _sku_discounts(orders),
+        "avg_discount_pct",
+        ["region"],
+        rank="discount_rank_in_region",
+        nulls_first=True,
     )
 
 
@@ -185,8 +193,8 @@ def sku_pareto(orders: DataFrame) -> DataFrame:
         ),
         "sku-revenue",
     )
-    ranked = value_ranks(revenue, "total_revenue", rank="revenue_rank")
-    order = [F.col("total_revenue").desc(), F.col("sku").asc(), F.col("business_unit").asc()]
+    ranked = value_ranks(revenue, "total_revenue", rank="revenue_rank", nulls_first=True)
+    order = [F.col("total_revenue").desc_nulls_first(), F.col("sku").asc(), F.col("business_unit").asc()]
     running = running_totals(ranked, order, ["total_revenue"])
     share = ratio(
         F.lit(100.0) * (F.col("total_revenue_before") + F.col("total_revenue")),

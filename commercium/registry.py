@@ -15,7 +15,7 @@ from commercium.functions import round_half_up
 from commercium.plans import competitive as ci
 from commercium.plans import decisions, elasticity, lifecycle, mart, pricing, profiles, risk, scenarios
 from commercium.sources import cleaning, columns, readers, star
-from commercium.sources.staging import scratch_path
+from commercium.sources.staging import scratch_path, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -385,7 +385,7 @@ def owner_performance(spark, root):
 
 @query
 def risk_headline(spark, root):
-    return rounded(risk.risk_headline(_scored(spark, root), _risk(spark, root)), 6)
+    return rounded(risk.risk_headline(_risk(spark, root)), 6)
 
 
 # --- scenarios -------------------------------------------------------------------
@@ -412,6 +412,14 @@ def overall_scenarios(spark, root):
     return rounded(scenarios.overall_scenarios(rows, scenarios.ELASTICITY_BASE), 2, quantity_change_pct=6, revenue_change_pct=6)
 
 
+@query
+def scenario_labels(spark, root):
+    rows = _revenue_orders(spark, root, "sku")
+    overall = rounded(scenarios.overall_scenarios(rows, scenarios.ELASTICITY_BASE), 2)
+    exact = overall.withColumn("revenue_change", F.col("scenario_revenue") - F.col("baseline_revenue"))
+    return scenarios.scenario_labels(rounded(exact, 2))
+
+
 @query
 def business_unit_scenarios(spark, root):
     rows = _revenue_orders(spark, root, "business_unit")
@@ -576,7 +584,9 @@ def ci_positive_headroom(spark, root):
 
 @query
 def competitor_recommendation(spark, root):
-    return rounded(ci.competitor_recommendation(star.competitor_pricing(spark, root)), 6)
+    # The price table is read twice, for its mean and its rows; the fact only once.
+    prices = stage(star.competitor_pricing(spark, root), "competitor-pricing")
+    return rounded(ci.competitor_recommendation(prices), 6)
 
 
 @query
@@ -618,12 +628,16 @@ def action_mix(spark, root):
 
 
 def mart_results(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    """Every result of the mart layout, built from shared inputs."""
+    """Every result of the mart layout.
+
+    The joined facts and the summary are staged: many results read a few columns
+    of each, and the joins run once.
+    """
     base = scenarios.ELASTICITY_BASE
-    orders = _scenario_orders(spark, root, *star.PRICING_COLUMNS)
-    scored = _scored(spark, root)
-    scored_risk = _risk(spark, root)
-    summary = _summary(spark, root)
+    orders = stage(_scenario_orders(spark, root, *star.PRICING_COLUMNS), "mart-orders")
+    scored = stage(_scored(spark, root), "mart-scored")
+    scored_risk = risk.initiative_risk(scored)
+    summary = stage(_summary(spark, root), "mart-summary")
     robust = elasticity.robustness_results(_quarterly_sample(spark, root))
     return {
         "overall_pricing_scenarios": scenarios.overall_scenarios(orders, base),
