@@ -69,6 +69,7 @@ class Specification:
     name: str
     prepare: Callable[[DataFrame], DataFrame] = _same
     model: Model = Model((PRICE,), TIMED)
+    needs: tuple[str, ...] = ()
 
 
 SPECIFICATIONS = [
@@ -78,8 +79,8 @@ SPECIFICATIONS = [
     Specification("4. SKU + time + commercial controls"),
     Specification("5. SKU + PPI + commercial controls", model=Model((PRICE, COST), COMMERCIAL)),
     Specification("6. Winsorised price and quantity", lambda d: winsorised(d, [PRICE, VOLUME])),
-    Specification("7. Excluding discounts above 30%", discount_capped_orders),
-    Specification("8. List-price sensitivity", _list_price_as_price),
+    Specification("7. Excluding discounts above 30%", discount_capped_orders, needs=("list_price",)),
+    Specification("8. List-price sensitivity", _list_price_as_price, needs=("list_price",)),
     Specification("9. Higher-revenue SKUs", top_half_sku_orders),
     Specification("10. Excluding bottom 5% quantity observations", trimmed_orders),
 ]
@@ -88,10 +89,9 @@ SPECIFICATIONS = [
 def prepared_quarterly(orders: DataFrame, index: DataFrame) -> DataFrame:
     """Clean orders with logs, quarter label and the quarterly index, staged."""
     joined = orders_with_quarterly_index(clean_orders(orders), index)
+    optional = [c for c in ("list_price",) if c in joined.columns]
     return stage(
-        joined.select(
-            "sku", *TIMED, "quantity", "net_price", "list_price", VOLUME, PRICE, COST
-        ),
+        joined.select("sku", *TIMED, "quantity", "net_price", *optional, VOLUME, PRICE, COST),
         "elasticity-quarterly",
         cluster_by="sku",
     )
@@ -141,10 +141,13 @@ def robustness_results(
 ) -> DataFrame:
     """Fit every specification on the prepared quarterly data; one row each.
 
-    Specifications of the same sample share their passes.  The samples are
-    independent, so a few are fitted at a time and share the cluster.
+    Specifications of the same sample share their passes; one that needs a
+    column the data lacks is left out.  The samples are independent, so a few
+    are fitted at a time and share the cluster.
     """
-    levels = category_levels(data, TIMED)
+    specifications = [s for s in specifications if set(s.needs) <= set(data.columns)]
+    used = {c for spec in specifications for c in spec.model.categoricals}
+    levels = category_levels(data, [c for c in TIMED if c in used])
     centres = column_means(data, [PRICE, VOLUME, COST])
     samples: dict[Callable, list[Specification]] = {}
     for spec in specifications:
@@ -282,12 +285,14 @@ def model_fit_stats(data: DataFrame, fit: Fit, order: Sequence[str]) -> DataFram
 
 
 def elasticity_selection(
-    results: DataFrame, preferred: Sequence[str] = PREFERRED_MODELS
+    results: DataFrame,
+    preferred: Sequence[str] = PREFERRED_MODELS,
+    median_fallback: bool = True,
 ) -> DataFrame:
     """Estimate of the first preferred model found, else the median of all.
 
-    Names match on a literal, case-insensitive substring; an estimate that is
-    not finite fails the query.
+    Names match on a literal, case-insensitive substring.  An estimate that is
+    not finite fails the query, and so does a missing model without the fallback.
     """
     name = F.lower("model")
     preference = F.when(F.lit(False), F.lit(0))
@@ -299,7 +304,10 @@ def elasticity_selection(
     )
     picked = results.agg(chosen.alias("c"), F.median("elasticity").alias("median"))
     found = F.col("c").isNotNull()
-    estimate = F.when(found, F.col("c.elasticity")).otherwise(F.col("median"))
+    fallback = F.col("median")
+    if not median_fallback:
+        fallback = F.raise_error(F.lit("no preferred elasticity model found")).cast("double")
+    estimate = F.when(found, F.col("c.elasticity")).otherwise(fallback)
     finite = estimate.isNotNull() & ~F.isnan(estimate) & (F.abs(estimate) < float("inf"))
     return picked.select(
         F.when(finite, estimate)

@@ -24,6 +24,7 @@ QUERIES: dict[str, Query] = {}
 _NUMERIC = ["list_price", "net_price", "discount_pct", "quantity", "revenue"]
 _ROBUST = ["order_date", "sku", "region", "channel", "customer_tier", "list_price", "net_price", "quantity"]
 _HEADLINE = ["order_id", "order_date", "business_unit", "sku", "region", "channel", "customer_tier", "net_price", "quantity"]
+_MONEY = dict.fromkeys(["baseline_revenue", "scenario_revenue", "revenue_change", "scenario_quantity"], 2)
 _ORDER_KEY = ["order_date", "order_id", "sku", "region", "channel", "customer_tier", "log_quantity", "log_net_price", "log_ppi"]
 
 
@@ -167,12 +168,13 @@ def table_round_trip(spark, root):
 
 @query
 def price_realization(spark, root):
-    return rounded(pricing.price_realization(_orders(spark, root)), avg_discount_pct=6)
+    return rounded(pricing.price_realization(_orders(spark, root)), avg_discount_pct=6, total_revenue=2)
 
 
 @query
 def price_realization_preview(spark, root):
-    return rounded(pricing.price_realization_preview(_orders(spark, root)), avg_discount_pct=6)
+    view = pricing.price_realization_preview(_orders(spark, root))
+    return rounded(view, avg_discount_pct=6, total_revenue=2)
 
 
 @query
@@ -450,22 +452,22 @@ def _segment_opportunities(spark, root):
 
 @query
 def sku_opportunities(spark, root):
-    return rounded(_sku_opportunities(spark, root))
+    return rounded(_sku_opportunities(spark, root), **_MONEY)
 
 
 @query
 def top_sku_uplift(spark, root):
-    return rounded(scenarios.top_sku_uplift(_sku_opportunities(spark, root)))
+    return rounded(scenarios.top_sku_uplift(_sku_opportunities(spark, root)), **_MONEY)
 
 
 @query
 def segment_opportunities(spark, root):
-    return rounded(_segment_opportunities(spark, root))
+    return rounded(_segment_opportunities(spark, root), **_MONEY)
 
 
 @query
 def top_segment_uplift(spark, root):
-    return rounded(scenarios.top_segment_uplift(_segment_opportunities(spark, root)))
+    return rounded(scenarios.top_segment_uplift(_segment_opportunities(spark, root)), **_MONEY)
 
 
 # --- elasticity ------------------------------------------------------------------

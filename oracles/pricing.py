@@ -52,7 +52,7 @@ _SUMMARY_TYPES = {
     "price_gap_usd": "double",
     "price_gap_pct": "double",
     "market_share_pct": "double",
-    "market_share_rank": "int",
+    "market_share_rank": "bigint",
     "market_position": "string",
     "strategic_action": "string",
 }
@@ -71,7 +71,7 @@ select business_unit, region, channel, customer_tier, {_QUARTER} as quarter,
        {r('sum(revenue) / nullif(sum(quantity), 0)')} as avg_sell_price,
        {r('avg(list_price)')} as avg_list_price,
        {r('avg(discount_pct)', 6)} as avg_discount_pct,
-       {r('sum(revenue)')} as total_revenue,
+       {r('sum(revenue)', 2)} as total_revenue,
        cast(sum(quantity) as bigint) as total_units
 from pricing_orders group by all"""
 

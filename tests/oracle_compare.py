@@ -14,6 +14,15 @@ from datetime import date, datetime
 
 TABLES = "region nation customer supplier part orders lineitem".split()
 
+SAME_TYPE = {
+    "bigint": "BIGINT",
+    "int": "INTEGER",
+    "double": "DOUBLE",
+    "string": "VARCHAR",
+    "date": "DATE",
+    "boolean": "BOOLEAN",
+}
+
 
 def oracle_connection(folder: str):
     import duckdb
@@ -50,12 +59,13 @@ def compare(spark, connection, folder: str, query, sql: str) -> str | None:
     theirs = cursor.fetchall()
     if sorted(names) != sorted(df.columns):
         return f"columns {sorted(set(names) ^ set(df.columns))}"
+    declared = {d[0]: str(d[1]) for d in cursor.description}
+    types = {c: (t, declared[c]) for c, t in df.dtypes if SAME_TYPE.get(t) != declared[c]}
+    if types:
+        return f"types {types}"
     a, b = _bag(df.columns, mine), _bag(names, theirs)
     if a == b:
-        types_a = {type(v) for row in a for v in row}
-        types_b = {type(v) for row in b for v in row}
-        extra = {t.__name__ for t in types_a ^ types_b if t is not type(None)}
-        return f"types {extra}" if extra else None
+        return None
     only_a, only_b = a - b, b - a
     return (
         f"{len(mine)} vs {len(theirs)} rows, {sum(only_a.values())} differ\n"

@@ -170,6 +170,8 @@ def test_selection_prefers_models_in_order_else_the_median(spark):
     assert elasticity.elasticity_selection(results(spark, table[::2])).first()["elasticity"] == -3.0
     fallback = elasticity.elasticity_selection(results(spark, [("a", 1.0, 0.5), ("b", -3.0, 0.1)])).first()
     assert (fallback["elasticity"], fallback["p_value"], fallback["model"]) == (-1.0, None, elasticity.MEDIAN_MODEL)
+    with pytest.raises(Exception, match="no preferred elasticity model"):
+        elasticity.elasticity_selection(results(spark, [("a", 1.0, 0.5)]), median_fallback=False).collect()
     with pytest.raises(Exception, match="no finite elasticity"):
         elasticity.elasticity_selection(results(spark, [("a", float("nan"), 0.5)])).collect()
 
@@ -182,3 +184,23 @@ def test_summary_of_published_spread(spark):
     got = elasticity.robustness_summary(results(spark, [(str(i), e, p) for i, (e, p) in enumerate(zip(published, p_values))])).first()
     assert (got["negative"], got["positive"], got["significant_negative"]) == (10, 0, 7)
     assert got["median_elasticity"] == pytest.approx((-0.6919756483590884 - 0.6954768686338806) / 2)
+
+
+def test_list_price_specifications_need_a_list_price(spark):
+    import datetime
+
+    from commercium.sources.readers import INDEX_SCHEMA
+
+    rng = np.random.default_rng(9)
+    rows = [
+        (datetime.date(2024, 1 + i % 12, 1), f"S{i % 5}", f"R{i % 2}", f"C{i % 3}", "T", float(np.exp(rng.normal())), 1 + i % 40)
+        for i in range(240)
+    ]
+    orders = spark.createDataFrame(
+        rows, "order_date date, sku string, region string, channel string, customer_tier string, net_price double, quantity bigint"
+    )
+    index = spark.createDataFrame([(datetime.date(2024, m, 1), 100.0 + m) for m in range(1, 13)], INDEX_SCHEMA)
+    results = elasticity.robustness_results(elasticity.prepared_quarterly(orders, index)).collect()
+    assert [r["model"].split(".")[0] for r in results] == ["1", "2", "3", "4", "5", "6", "9", "10"]
+    assert all(r["ci_low"] < r["elasticity"] < r["ci_high"] for r in results)
+    assert results[-1]["observations"] < results[0]["observations"] == 240
