@@ -5,8 +5,8 @@ from oracle_compare import compare, oracle_connection
 
 from __spark_entry__ import entry, oracle_sql, queries
 
-# The four that fit all ten specifications share one fit; two are left to the command line tool.
-SLOW = {"robustness_summary", "mart_manifest"}
+# These fit all ten specifications again, as robustness_results does; the command line tool has them.
+SLOW = {"robustness_summary", "elasticity_selection", "overall_scenarios_selected", "mart_manifest"}
 
 
 @pytest.fixture(scope="module")

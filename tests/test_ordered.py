@@ -3,6 +3,8 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from commercium.operators import ordered
@@ -92,3 +94,15 @@ def test_previous_in_order_crosses_slices(spark):
     assert got.where("id > 0 and p <> v - 2").count() == 0
     assert got.where("id > 0 and p is null").count() == 0
     assert got.where("id = 0").first()["p"] is None
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.sampled_from("ab"), st.integers(-3, 3)), min_size=1, max_size=60), st.floats(0, 1))
+def test_ranks_and_quantiles_of_any_small_table(spark, rows, p):
+    df = spark.createDataFrame([(g, float(v), i) for i, (g, v) in enumerate(rows)], "g string, v double, i long")
+    ranks = {r["i"]: (r["r"], r["d"]) for r in ordered.value_ranks(df, "v", ["g"], "r", "d").collect()}
+    for i, (g, v) in enumerate(rows):
+        above = [w for h, w in rows if h == g and w > v]
+        assert ranks[i] == (len(above) + 1, len(set(above)) + 1)
+    for r in ordered.quantiles(df, "v", {"q": p}, ["g"]).collect():
+        assert r["q"] == pytest.approx(np.quantile([v for g, v in rows if g == r["g"]], p), abs=1e-9)
