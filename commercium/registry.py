@@ -158,6 +158,25 @@ def csv_round_trip(spark, root):
     return readers.read_csv(spark, path, result.schema)
 
 
+@query
+def csv_scan_orders(spark, root):
+    """The order table as a CSV file set, scanned with its declared schema."""
+    path = readers.export_csv(_orders(spark, root), scratch_path(spark, "orders-csv"))
+    return readers.read_csv(spark, path, readers.ORDERS_SCHEMA)
+
+
+@query
+def view_scan(spark, root):
+    """SQL over a registered view, the other way into every job."""
+    fact = _orders(spark, root, "region", "channel", "quantity", "discount_pct")
+    readers.register_views(spark, {"commercium_orders": fact})
+    sql = """
+        SELECT region, channel, count(*) AS orders, sum(quantity) AS units, max(discount_pct) AS max_discount_pct
+        FROM commercium_orders WHERE quantity > 0 GROUP BY region, channel
+    """
+    return readers.read_query(spark, sql)
+
+
 @query
 def table_round_trip(spark, root):
     return readers.replace_table(lifecycle.lifecycle_analysis(_scored(spark, root)), scratch_path(spark, "table"))

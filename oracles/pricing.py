@@ -162,6 +162,11 @@ select count(*) as observations, min(order_date) as first_order, max(order_date)
        count(distinct quarter) as quarters
 from ({_MONTHLY}) j"""),
     "csv_round_trip": _orders(_MATRIX),
+    "csv_scan_orders": _orders("select * exclude (product_family) from pricing_orders"),
+    "view_scan": _orders("""
+select region, channel, count(*) as orders, cast(sum(quantity) as bigint) as units,
+       max(discount_pct) as max_discount_pct
+from pricing_orders where quantity > 0 group by region, channel"""),
     "price_realization": _orders(_REALIZATION),
     "price_realization_preview": _orders(
         _REALIZATION + " order by quarter, business_unit, region, channel, customer_tier limit 50"
