@@ -116,3 +116,25 @@ def test_unused_lookups_stay_out_of_the_plan(spark, root):
     full = star.pricing_orders(spark, root)
     assert full.count() == star.star_table(spark, root, "lineitem").count()
     assert full.where("region is null or business_unit is null or order_date is null").count() == 0
+
+
+class _Session:
+    """Just the settings that decide where staged tables go."""
+
+    def __init__(self, master, folder=None):
+        self.conf = self
+        self.sparkContext = self
+        self.master = master
+        self.folder = folder
+
+    def get(self, key, default=None):
+        return self.folder if key == "spark.checkpoint.dir" else default
+
+    def getCheckpointDir(self):
+        return None
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    assert staging.shared_folder(_Session("yarn", "hdfs:///scratch")) == "hdfs:///scratch"
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        staging.shared_folder(_Session("yarn"))
