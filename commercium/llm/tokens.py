@@ -45,13 +45,27 @@ class Encoder:
         self.count = np.zeros(0, np.int64)
         self.pool = np.zeros(0, self.type)
 
+    #: What stands before a word of each form.
+    leads = ("", " ", "\n")
+
+    def _whole(self, text: str, keys: np.ndarray | None, k: int) -> list[int]:
+        return self.whole(text)
+
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _learn(self, keys: np.ndarray, checks: np.ndarray, words: list[str]) -> None:
+    def _ids_of(self, words: list[str], marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all ``words`` in a row, and where each word's begin."""
         made = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
         owner = np.array(made.word_ids, np.int64)
-        places = np.searchsorted(owner, np.arange(len(words) + 1))
+        return np.array(made.ids, self.type), np.searchsorted(owner, np.arange(len(words) + 1))
+
+    def _marks(self, words: Words, texts: np.ndarray | None) -> np.ndarray:
+        """A number for each word that tells apart ways to tokenize it."""
+        return np.zeros(len(words.start), np.uint64)
+
+    def _learn(self, keys: np.ndarray, checks: np.ndarray, words: list[str], marks: np.ndarray) -> None:
+        ids, places = self._ids_of(words, marks)
         count = np.diff(places)
         if self.keep_spaces:  # a word that begins with further white space belongs to a longer gap
             odd = [k for k, w in enumerate(words) if w[w[0] in " \n" :][:1].isspace()]
@@ -61,7 +75,7 @@ class Encoder:
         self.count = np.concatenate([self.count, count])[order]
         self.checks = np.concatenate([self.checks, checks])[order]
         self.keys = np.concatenate([self.keys, keys])[order]
-        self.pool = np.concatenate([self.pool, np.array(made.ids, self.type)])
+        self.pool = np.concatenate([self.pool, ids])
 
     def _form(self, data: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """For each word 0 (nothing before it), 1 (a space) or 2 (a newline); which texts have other gaps."""
@@ -73,7 +87,7 @@ class Encoder:
         bad = (gap > 1) | (~begins & (before != 32) & (before != 10))
         return form, bad
 
-    def _chunk(self, data: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _chunk(self, data: np.ndarray, places: np.ndarray, keys: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         words = Words(data, places)
         texts = len(places) - 1
         whole = np.zeros(texts, bool)
@@ -88,8 +102,9 @@ class Encoder:
                 words.end[words.bounds[1:][some] - 1] != places[1:][some]
             )
             whole |= edge | (~some & (np.diff(places) > 0))
-        key = mix(words.hash + form)
-        check = mix(words.second() ^ form)
+        marks = self._marks(words, keys)
+        key = mix(mix(words.hash + form) + marks)
+        check = mix(mix(words.second() ^ form) ^ marks)
         _, sample, inverse = np.unique(key, return_index=True, return_inverse=True)
         if len(key) and (check[sample][inverse] != check).any():
             raise ValueError("two words share a hash")
@@ -102,9 +117,10 @@ class Encoder:
         if not known.all():
             raw = data.tobytes()
             new = sample[~known]
-            lead = ["", " ", "\n"]
+            lead = self.leads
             spans = zip(form[new].tolist(), words.start[new].tolist(), words.end[new].tolist(), strict=True)
-            self._learn(key[new], check[new], [lead[f] + raw[a:b].decode("utf-8", "replace") for f, a, b in spans])
+            texts_of = [lead[f] + raw[a:b].decode("utf-8", "replace") for f, a, b in spans]
+            self._learn(key[new], check[new], texts_of, marks[new])
             at = np.searchsorted(self.keys, key[sample])
         if (self.checks[at] != check[sample]).any():
             raise ValueError("two words share a hash")
@@ -121,7 +137,8 @@ class Encoder:
             parts, sizes = [], np.diff(bounds)
             for k in range(texts):
                 if whole[k]:
-                    part = np.array(self.whole(data[places[k] : places[k + 1]].tobytes().decode("utf-8", "replace")), self.type)
+                    text = data[places[k] : places[k + 1]].tobytes().decode("utf-8", "replace")
+                    part = np.array(self._whole(text, keys, k), self.type)
                     sizes[k] = len(part)
                 else:
                     part = ids[bounds[k] : bounds[k + 1]]
@@ -129,11 +146,15 @@ class Encoder:
             ids, bounds = np.concatenate(parts), np.concatenate([[0], np.cumsum(sizes)])
         return ids, bounds
 
-    def encode(self, column: pa.Array):
-        """(first text, ids, bounds) for stretches of texts; text first + k has ids[bounds[k]:bounds[k + 1]]."""
+    def encode(self, column: pa.Array, keys: np.ndarray | None = None):
+        """(first text, ids, bounds) for stretches of texts; text first + k has ids[bounds[k]:bounds[k + 1]].
+
+        ``keys`` are numbers of the texts for encoders whose ids depend on them.
+        """
         data, places = text_bytes(column)
         for a, b in chunks(places, CHUNK_BYTES):
-            yield a, *self._chunk(data[places[a] : places[b]], places[a : b + 1] - places[a])
+            own = None if keys is None else keys[a:b]
+            yield a, *self._chunk(data[places[a] : places[b]], places[a : b + 1] - places[a], own)
 
 
 def encoder(path: str) -> Encoder:
