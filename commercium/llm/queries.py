@@ -5,17 +5,36 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from commercium.llm import exact, near, packing, quality, sharding, substrings, token_files
+from commercium.llm import (
+    exact,
+    language,
+    near,
+    packing,
+    pieces,
+    quality,
+    sharding,
+    substrings,
+    token_files,
+    toxicity,
+)
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
 def op2_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near.near_groups(read(spark, folder, "documents"))
 
 
+def op3_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language.language_id(read(spark, folder, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_dedup(read(spark, folder, "documents"))
 
@@ -36,6 +55,10 @@ def op8_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(read(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_merge_dropout(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.piece_digests(read(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.round_trip(read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -43,12 +66,15 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_toxicity,
         op2_near_dedup,
+        op3_language_id,
         op4_exact_dedup,
         op5_sharding,
         op6_substring_dedup,
         op7_quality_rules,
         op8_best_fit_packing,
+        op9_merge_dropout,
         op10_token_files,
     )
 }
