@@ -121,7 +121,9 @@ def dedup_groups(history: DataFrame, batch: DataFrame) -> DataFrame:
 
     def reduced(rows: DataFrame) -> DataFrame:
         each = rows.groupBy("digest").agg(F.max(key).alias("winner"), F.count("*").alias("n"))
-        return each.select(bucket.alias("bucket"), "digest", "winner", "n").groupBy("bucket")
+        # The alias gives each side a column of its own, though both come from one table.
+        own = F.col("digest").alias("digest")
+        return each.select(bucket.alias("bucket"), own, "winner", "n").groupBy("bucket")
 
     return reduced(history).cogroup(reduced(batch)).applyInPandas(_lookup, _OUT)
 
