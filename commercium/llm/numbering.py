@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from commercium.sources.staging import stage
 
-ROWS_PER_BLOCK = 20_000
+#: A key's rows are dealt over as many blocks as the table has of this size, and at most so many.
+ROWS_PER_BLOCK, MOST_BLOCKS = 2_000, 4_096
 
 
 def number_within(rows: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
@@ -19,7 +20,7 @@ def number_within(rows: DataFrame, key: str, order: list[str], name: str) -> Dat
     over all blocks. ``rows`` must be a written table: it is read three times.
     ``order`` should identify a row; rows equal in it stay in one block.
     """
-    blocks = max(1, rows.count() // ROWS_PER_BLOCK)
+    blocks = min(max(1, rows.count() // ROWS_PER_BLOCK), MOST_BLOCKS)
     placed = rows.withColumn("__block", F.pmod(F.xxhash64(*order), F.lit(blocks)))
     counts = placed.groupBy(key, "__block").agg(F.count("*").alias("__n"))
     before = W.partitionBy(key).orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
