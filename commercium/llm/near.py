@@ -26,6 +26,8 @@ SHINGLE = 5
 #: A pair at 75 % similarity misses all 56 bands of 5 coordinates with probability 2.6e-7.
 BANDS, ROWS = 56, 5
 MEMBERS_PER_CHAIN = 64
+#: Words of 64 bits in a text's parity bitmap.
+BITMAP = 32
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -86,7 +88,31 @@ def band_keys(sketch: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key
 
 
-_SKETCHED = "doc_id long, n_shingles long, set_a long, set_b long, bands array<bigint>"
+def bitmaps(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Parity of the number of elements in each of 2048 classes, as BITMAP 64-bit words per set.
+
+    Two sets differ in at least as many elements as their bitmaps differ in bits.
+    """
+    classes = 64 * BITMAP
+    texts = len(bounds) - 1
+    cell = np.repeat(np.arange(texts), np.diff(bounds)) * classes + (values >> np.uint64(53)).astype(np.int64)
+    odd = np.bincount(cell, minlength=texts * classes).astype(np.uint8) & 1
+    return np.packbits(odd.reshape(texts, classes), axis=1).view(np.int64)
+
+
+def may_reach(a: str, b: str, sizes, percent: int):
+    """Whether two sets with bitmap columns ``a``, ``b`` and ``sizes`` elements in all can reach the similarity.
+
+    Similar sets differ in at most (100 - percent) / (100 + percent) of their elements;
+    the bitmaps bound that from below, so no similar pair is ruled out.
+    """
+    bits = F.lit(0)
+    for k in range(BITMAP):
+        bits = bits + F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k]))
+    return bits * (100 + percent) <= sizes * (100 - percent)
+
+
+_SKETCHED = "doc_id long, n_shingles long, set_a long, set_b long, bands array<bigint>, bits array<bigint>"
 
 
 def sketch_documents(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -113,8 +139,12 @@ def sketch_documents(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> D
                             pa.array(np.arange(0, (b - a + 1) * bands, bands, dtype=np.int32)),
                             pa.array(keys.reshape(-1).view(np.int64)),
                         ),
+                        pa.ListArray.from_arrays(
+                            pa.array(np.arange(0, (b - a + 1) * BITMAP, BITMAP, dtype=np.int32)),
+                            pa.array(bitmaps(values, bounds).reshape(-1)),
+                        ),
                     ],
-                    names=["doc_id", "n_shingles", "set_a", "set_b", "bands"],
+                    names=["doc_id", "n_shingles", "set_a", "set_b", "bands", "bits"],
                 )
 
     return docs.select("doc_id", "text").mapInArrow(sketch, _SKETCHED)
@@ -167,9 +197,11 @@ def near_groups(docs: DataFrame, percent: int = 75, bands: int = BANDS, rows: in
     1. In each band bucket every class is compared with the bucket's smallest, and
        with its neighbour in stretches of about 64 members.
     2. Links give components; a bucket inside one component is done.
-    3. In the others, all pairs across components are compared, once.
+    3. In the others, pairs across components are compared, once.
 
-    So a large group of near copies costs a few pairs per member, not their square.
+    A pair is compared on full sets only if the texts' sizes and parity bitmaps allow the
+    similarity, which they do for every similar pair. So a large group of near copies
+    costs a few comparisons per member, not their square.
     NULL, empty and blank texts have empty sets, are linked with nothing and are their
     own component. A row without doc_id is kept, with component_id NULL. Rows that
     repeat a doc_id are alike. Further columns are ignored; an empty table gives no rows.
@@ -178,40 +210,42 @@ def near_groups(docs: DataFrame, percent: int = 75, bands: int = BANDS, rows: in
     sketched = stage(sketch_documents(source, bands, rows), "sketches")
     named = sketched.where("n_shingles > 0 and doc_id is not null")
     classes = stage(
-        named.groupBy("n_shingles", "set_a", "set_b").agg(F.min(F.struct("doc_id", "bands")).alias("__first"))
-        .select("n_shingles", "set_a", "set_b", F.col("__first.doc_id").alias("rep"), F.col("__first.bands").alias("bands")),
+        named.groupBy("n_shingles", "set_a", "set_b").agg(F.min(F.struct("doc_id", "bands", "bits")).alias("x"))
+        .select("n_shingles", "set_a", "set_b", F.col("x.doc_id").alias("rep"), "x.bands", "x.bits"),
         "classes",
     )
-    keyed = classes.select(F.explode("bands").alias("key"), "rep", F.col("n_shingles").alias("n"))
+    keyed = classes.select(F.explode("bands").alias("key"), "rep")
     shared = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("hub")).where("size > 1")
     members = stage(keyed.join(shared, "key"), "buckets")
 
-    def alike(x, y):
-        return (F.least(x, y) * 100 >= F.greatest(x, y) * percent)
+    wanted = members.select("rep").distinct()
+    maps = stage(classes.select("rep", "n_shingles", "bits").join(wanted, "rep"), "bitmaps")
+
+    def mapped(side: str) -> DataFrame:
+        return maps.select(F.col("rep").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}"))
 
-    sizes = classes.select(F.col("rep").alias("hub"), F.col("n_shingles").alias("m"))
-    to_hub = members.where("rep <> hub").select("hub", "rep", "n").distinct().join(sizes, "hub")
+    n_a, n_b = F.col("n_a"), F.col("n_b")
+    hopeful = (F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent) & may_reach("bits_a", "bits_b", n_a + n_b, percent)
+    to_hub = members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
     # The number of stretches is a power of two, so that neighbours agree between buckets.
     stretches = F.pow(2, F.ceil(F.log2(F.col("size") / MEMBERS_PER_CHAIN))).cast("long")
     many = F.col("size") > MEMBERS_PER_CHAIN
     chain = members.withColumn("part", F.when(many, F.pmod(F.xxhash64("rep"), stretches)).otherwise(F.lit(0)))
     along = W.partitionBy("key", "part").orderBy("rep")
-    chained = chain.select("rep", "n", F.lead("rep").over(along).alias("next"), F.lead("n").over(along).alias("m"))
-    first = to_hub.where(alike(F.col("n"), F.col("m"))).select(F.col("hub").alias("a"), F.col("rep").alias("b"))
-    second = chained.where(F.col("next").isNotNull() & alike(F.col("n"), F.col("m")))
-    pairs = stage(first.unionByName(second.select(F.col("rep").alias("a"), F.col("next").alias("b"))).distinct(), "pairs")
+    chained = chain.select(F.col("rep").alias("a"), F.lead("rep").over(along).alias("b")).where("b is not null")
+    pairs = stage(to_hub.unionByName(chained).distinct(), "pairs")
+    pairs = stage(pairs.join(mapped("a"), "a").join(mapped("b"), "b").where(hopeful).select("a", "b"), "pairs")
 
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    texts = stage(source.join(wanted, "doc_id").dropDuplicates(["doc_id"]), "texts")
+    texts = stage(source.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id").dropDuplicates(["doc_id"]), "texts")
     checked = stage(_verified(pairs, texts, percent), "checked")
     links = checked.where("linked").select("a", "b")
-    rooted = stage(_with_roots(members.select("key", "rep", "n"), links), "rooted")
+    rooted = stage(_with_roots(members.select("key", "rep"), links), "rooted")
     mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     across = rooted.join(mixed, "key")
-    left = across.select("key", F.col("rep").alias("a"), F.col("n").alias("n"), F.col("root").alias("root_a"))
-    right = across.select("key", F.col("rep").alias("b"), F.col("n").alias("m"), F.col("root").alias("root_b"))
-    rest = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")))
-    rest = rest.where(alike(F.col("n"), F.col("m"))).select("a", "b").distinct().join(checked, ["a", "b"], "left_anti")
+    left = across.select("key", F.col("rep").alias("a"), F.col("root").alias("root_a")).join(mapped("a"), "a")
+    right = across.select("key", F.col("rep").alias("b"), F.col("root").alias("root_b")).join(mapped("b"), "b")
+    rest = left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & hopeful)
+    rest = rest.select("a", "b").distinct().join(checked, ["a", "b"], "left_anti")
     more = stage(_verified(stage(rest, "pairs"), texts, percent).where("linked").select("a", "b"), "links")
     if not more.isEmpty():
         links = links.unionByName(more)
