@@ -21,6 +21,8 @@ WINDOW, GRAM = 50, 6
 #: A super-k-mer has at most 64 windows, so that one number holds a bit for each.
 RUN = 64
 STRINGS_PER_BUCKET = 256
+#: Bytes of packed strings that a task sorts at a time.
+BUCKET_BYTES = 1 << 20
 
 
 def _smallest(values: np.ndarray, width: int) -> np.ndarray:
@@ -125,8 +127,8 @@ _OWNED = "m long, k long, parts long, owners array<bigint>, f array<bigint>, g a
 def _sort_buckets(strings: DataFrame, window: int) -> DataFrame:
     """In each bucket (m, part): sort all windows of its strings and find the smallest doc_id of each.
 
-    Rows arrive sorted by bucket, and buckets are at most a few hundred strings, so a
-    task holds whole buckets of about one batch.
+    Rows arrive sorted by bucket, and buckets are a few hundred strings, so a task sorts
+    some whole buckets at a time.
     """
 
     def owners(rows: pa.Table) -> pa.RecordBatch:
@@ -162,16 +164,27 @@ def _sort_buckets(strings: DataFrame, window: int) -> DataFrame:
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
+
+        def whole_buckets(table: pa.Table, last: bool) -> tuple[list[pa.Table], pa.Table]:
+            """Runs of whole buckets of about BUCKET_BYTES, and what may go on in the next batch."""
+            m, part = table.column("m").to_numpy(), table.column("part").to_numpy()
+            begin = np.flatnonzero(np.concatenate([[True], (m[1:] != m[:-1]) | (part[1:] != part[:-1])]))
+            stop = len(table) if last else int(begin[-1])
+            sizes = np.cumsum(pa.compute.binary_length(table.column("packed")).to_numpy())
+            ends = np.append(begin[1:], len(table))
+            runs, first = [], 0
+            for end in ends[ends <= stop].tolist():
+                if end == stop or sizes[end - 1] - (sizes[first - 1] if first else 0) >= BUCKET_BYTES:
+                    runs.append(table.slice(first, end - first).combine_chunks())
+                    first = end
+            return runs, table.slice(stop)
+
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table])
-            m, part = held.column("m").to_numpy(), held.column("part").to_numpy()
-            last = np.flatnonzero((m != m[-1]) | (part != part[-1])) if len(held) else []
-            if len(last) and len(held) >= 2000:
-                yield owners(held.slice(0, int(last[-1]) + 1).combine_chunks())
-                held = held.slice(int(last[-1]) + 1)
+            runs, held = whole_buckets(table if held is None else pa.concat_tables([held, table]), False)
+            yield from map(owners, runs)
         if held is not None and len(held):
-            yield owners(held.combine_chunks())
+            yield from map(owners, whole_buckets(held, True)[0])
 
     bucketed = strings.repartition("m", "part").sortWithinPartitions("m", "part")
     return bucketed.mapInArrow(sort, _OWNED)
