@@ -20,7 +20,7 @@ from commercium.sources.staging import stage
 WINDOW, GRAM = 50, 6
 #: A super-k-mer has at most 64 windows, so that one number holds a bit for each.
 RUN = 64
-STRINGS_PER_BUCKET = 256
+STRINGS_PER_BUCKET = 2048
 #: Bytes of packed strings that a task sorts at a time.
 BUCKET_BYTES = 1 << 20
 
@@ -121,7 +121,7 @@ def _pack(chosen: DataFrame, window: int) -> DataFrame:
     )
 
 
-_OWNED = "m long, k long, parts long, owners array<bigint>, f array<bigint>, g array<bigint>"
+_OWNED = "m long, k long, owners array<bigint>, cut array<struct<i:int,f:bigint,g:bigint,o:bigint>>"
 
 
 def _sort_buckets(strings: DataFrame, window: int) -> DataFrame:
@@ -149,17 +149,19 @@ def _sort_buckets(strings: DataFrame, window: int) -> DataFrame:
         smallest = np.empty(len(order), np.int64)
         smallest[order] = doc[order][new][np.cumsum(new) - 1] if len(order) else doc
         bounds = pa.array(np.searchsorted(of, np.arange(len(rows) + 1)).astype(np.int32))
-        # Window hashes go on only from minimisers that were split over several buckets.
+        # From minimisers dealt over several buckets, the windows go on with their hashes.
         split = (rows.column("parts").to_numpy() > 1)[of]
         cut = pa.array(np.concatenate([[0], np.cumsum(split)])[bounds.to_numpy()].astype(np.int32))
+        place = np.arange(len(of)) - np.repeat(bounds.to_numpy()[:-1], np.diff(bounds.to_numpy()))
+        fields = [place[split].astype(np.int32), f[split].view(np.int64), g[split].view(np.int64), smallest[split]]
+        windows = pa.StructArray.from_arrays([pa.array(x) for x in fields], names=["i", "f", "g", "o"])
         return pa.RecordBatch.from_arrays(
             [
-                *[rows.column(c).combine_chunks() for c in ("m", "k", "parts")],
+                *[rows.column(c).combine_chunks() for c in ("m", "k")],
                 pa.ListArray.from_arrays(bounds, pa.array(smallest)),
-                pa.ListArray.from_arrays(cut, pa.array(f[split].view(np.int64))),
-                pa.ListArray.from_arrays(cut, pa.array(g[split].view(np.int64))),
+                pa.ListArray.from_arrays(cut, windows),
             ],
-            names=["m", "k", "parts", "owners", "f", "g"],
+            names=["m", "k", "owners", "cut"],
         )
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,19 +270,21 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -
     dealt = dealt.withColumn("part", F.pmod(F.col("k"), F.col("parts")))
     listed = dealt.groupBy("doc_id", "row").agg(F.collect_list(F.struct("m", "k", "part", "parts", "start", "n")).alias("kmers"))
     owned = stage(_sort_buckets(_pack(listed.join(texts, ["doc_id", "row"]), window), window), "owners")
-    split = owned.where("parts > 1").select("m", "k", F.posexplode(F.arrays_zip("f", "g", "owners")).alias("i", "x"))
-    split = split.select("m", "k", "i", F.col("x.f").alias("f"), F.col("x.g").alias("g"), F.col("x.owners").alias("o"))
-    merged = split.groupBy("f", "g").agg(F.min("o").alias("owner"))
-    again = split.join(merged, ["f", "g"]).groupBy("m", "k").agg(F.array_sort(F.collect_list(F.struct("i", "owner"))).alias("x"))
-    owners = owned.where("parts = 1").select("m", "k", "owners").unionByName(again.select("m", "k", F.col("x.owner").alias("owners")))
+    # Windows of a dealt minimiser may have a smaller owner in another of its buckets.
+    split = owned.select("m", "k", F.explode("cut").alias("x")).select("m", "k", "x.*")
+    merged = split.groupBy("f", "g").agg(F.min("o").alias("owner"), F.max("o").alias("most")).where("owner < most")
+    fixed = split.join(merged, ["f", "g"]).where("owner < o")
+    fixed = fixed.groupBy("m", "k").agg(F.collect_list(F.struct("i", "owner")).alias("fixed"))
 
     later = hits.where("single and doc_id > lo")
     every = F.when(F.col("n") == RUN, F.lit(-1)).otherwise(F.expr("shiftleft(1L, n) - 1")).cast("long")
     bits = F.expr(
         "aggregate(transform(owners, (o, i) -> if(o < doc_id, shiftleft(1L, i), 0L)), 0L, (a, x) -> a | x)"
     )
-    some = several.join(owners, ["m", "k"]).select("doc_id", "row", "start", bits.alias("mask")).where("mask <> 0")
-    spans = later.select("doc_id", "row", "start", every.alias("mask")).unionByName(some)
+    fixes = F.expr("aggregate(fixed, 0L, (a, x) -> a | if(x.owner < doc_id, shiftleft(1L, x.i), 0L))")
+    some = several.join(owned.select("m", "k", "owners"), ["m", "k"]).select("doc_id", "row", "start", bits.alias("mask"))
+    more = several.join(fixed, ["m", "k"]).select("doc_id", "row", "start", fixes.alias("mask"))
+    spans = later.select("doc_id", "row", "start", every.alias("mask")).unionByName(some).unionByName(more).where("mask <> 0")
     found = spans.groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "mask")).alias("spans"))
     return scanned, _cut(found.join(texts, ["doc_id", "row"]), window)
 
