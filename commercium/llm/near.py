@@ -121,7 +121,7 @@ def sketch_documents(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> D
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, places = text_bytes(batch.column(1))
-            for a, b in chunks(places):
+            for a, b in chunks(places, 2 << 20):
                 values, bounds = shingle_sets(data[places[a] : places[b]], places[a : b + 1] - places[a])
                 count = np.diff(bounds)
                 keys = band_keys(sketches(values, bounds, bands * rows), bands, rows)

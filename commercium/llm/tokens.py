@@ -13,8 +13,8 @@ import pyarrow as pa
 
 from commercium.llm.text import Words, chunks, mix, text_bytes
 
-CHUNK_BYTES = 2 << 20
-CACHE_WORDS = 4_000_000
+CHUNK_BYTES = 1 << 20
+CACHE_WORDS = 2_000_000
 _ODD = -1
 _loaded: dict[str, "Encoder"] = {}
 

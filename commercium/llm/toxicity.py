@@ -11,7 +11,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -338,16 +337,17 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS)
     if model is None:
         return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
 
-    @F.pandas_udf("boolean")
-    def toxic(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for part in parts:
-            data, places = text_bytes(pa.array(part, pa.string()))
+        for batch in batches:
+            data, places = text_bytes(batch.column(at))
             scores = [
                 model.score(features(data[places[a] : places[b]], places[a : b + 1] - places[a], model.lexicon))
                 for a, b in chunks(places)
             ]
-            yield pd.Series(np.concatenate(scores) >= 0.5 if scores else np.zeros(0, bool))
+            if scores:
+                yield batch.filter(pa.array(np.concatenate(scores) < 0.5))
 
-    return docs.where(~toxic(F.col("text")))
+    return docs.mapInArrow(keep, docs.schema)
