@@ -64,8 +64,9 @@ def quarterly_index(index: DataFrame) -> DataFrame:
 
 
 def monthly_index(index: DataFrame) -> DataFrame:
-    """Last published value of every month."""
-    return index.groupBy(month_start(F.col("observation_date")).alias("month")).agg(
+    """Last published value of every month; rows without a date or value are not published."""
+    published = index.where(F.col("observation_date").isNotNull() & F.col("ppi_index").isNotNull())
+    return published.groupBy(month_start(F.col("observation_date")).alias("month")).agg(
         F.max_by("ppi_index", "observation_date").alias("ppi_index")
     )
 
@@ -138,7 +139,7 @@ def discount_creep(orders: DataFrame, changed_only: bool = False) -> DataFrame:
     The lag counts rows, so a region with a missing quarter compares unlike quarters.
     """
     quarterly = orders.groupBy("region", _quarter()).agg(F.avg("discount_pct").alias("avg_discount"))
-    earlier = F.lag("avg_discount", 4).over(Window.partitionBy("region").orderBy("quarter"))
+    earlier = F.lag("avg_discount", 4).over(Window.partitionBy("region").orderBy(F.asc_nulls_last("quarter")))
     view = quarterly.withColumn("yoy_discount_change", F.col("avg_discount") - earlier)
     if changed_only:
         view = view.where(F.col("yoy_discount_change").isNotNull())
@@ -181,7 +182,7 @@ def asp_moving_average(orders: DataFrame) -> DataFrame:
     quarterly = orders.groupBy("business_unit", _quarter()).agg(
         ratio(F.sum("revenue"), F.sum("quantity")).alias("avg_sell_price")
     )
-    recent = Window.partitionBy("business_unit").orderBy("quarter").rowsBetween(-1, 0)
+    recent = Window.partitionBy("business_unit").orderBy(F.asc_nulls_last("quarter")).rowsBetween(-1, 0)
     return quarterly.withColumn("asp_2q_moving_avg", F.avg("avg_sell_price").over(recent))
 
 

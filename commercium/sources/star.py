@@ -201,10 +201,9 @@ def competitor_pricing(spark: SparkSession, root: str) -> DataFrame:
 
 
 def market_share(spark: SparkSession, root: str) -> DataFrame:
-    """Revenue share of each company in its product family; some families lack data."""
+    """Revenue share of each company in its product family."""
     revenue = (
         _company_lines(spark, root)
-        .where((F.col("p_size") > 2) & ~F.col("product_family").endswith("7"))
         .groupBy("product_family", "company")
         .agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"))
     )

@@ -130,7 +130,7 @@ from company_lines group by all""",
     "market_share": """
 select product_family, company, rev * 100 / sum(rev) over (partition by product_family) as market_share_pct
 from (select product_family, company, sum(l_extendedprice * (1 - l_discount)) as rev
-      from company_lines where p_size > 2 and product_family not like '%7' group by all) t""",
+      from company_lines group by all) t""",
     "product_industry": """
 select distinct p_brand as product_family,
        concat('IND-', cast(substr(p_brand, 7) as int) % 5) as industry,

@@ -3,7 +3,9 @@
 import pytest
 from oracle_compare import compare, oracle_connection
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry, queries
+from commercium.registry import QUERIES
+from oracles import ORACLES
 
 # These fit all ten specifications again, as robustness_results does; the command line tool has them.
 SLOW = {"robustness_summary", "elasticity_selection", "overall_scenarios_selected", "mart_manifest"}
@@ -15,14 +17,14 @@ def connection(root):
 
 
 def test_every_query_has_an_oracle():
-    assert sorted(queries()) == sorted(oracle_sql())
+    assert sorted(QUERIES) == sorted(ORACLES)
 
 
 def test_entry_is_a_query_result(spark):
     assert entry(spark).columns == queries()["price_realization"](spark, "/root/testdata/sf0.001").columns
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - SLOW))
 def test_matches_oracle(spark, root, connection, name):
     seen = []
 
@@ -30,6 +32,6 @@ def test_matches_oracle(spark, root, connection, name):
         seen.append(queries()[name](session, folder))
         return seen[-1]
 
-    assert compare(spark, connection, root, recorded, oracle_sql()[name]) is None
+    assert compare(spark, connection, root, recorded, ORACLES[name]) is None
     plan = seen[0]._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
