@@ -91,3 +91,10 @@ def test_offender_ties_share_a_rank(spark):
     got = {r["sku"]: r["discount_rank_in_region"] for r in pricing.discount_offenders(orders(spark, rows)).collect()}
     assert got == {"A": 1, "B": 1, "C": 3}
     assert pricing.top_discount_offenders(orders(spark, rows), 2).count() == 2
+
+
+def test_month_keeps_its_last_published_value(spark):
+    index = spark.createDataFrame(
+        [("2024-01-05", 10.0), ("2024-01-20", None), (None, 7.0)], "d string, ppi_index double"
+    ).selectExpr("cast(d as date) as observation_date", "ppi_index")
+    assert [r.ppi_index for r in pricing.monthly_index(index).collect()] == [10.0]

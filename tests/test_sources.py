@@ -138,3 +138,9 @@ def test_a_cluster_must_name_its_shared_folder():
     assert staging.shared_folder(_Session("yarn", "hdfs:///scratch")) == "hdfs:///scratch"
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         staging.shared_folder(_Session("yarn"))
+
+
+def test_csv_columns_are_found_by_header_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("region,quantity,sku\nEU,3,S1\nUS,many,S2\n")
+    rows = readers.read_csv(spark, str(tmp_path / "a.csv"), "sku string, region string, quantity bigint").collect()
+    assert [tuple(r) for r in rows] == [("S1", "EU", 3), ("S2", "US", None)]
