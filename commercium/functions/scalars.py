@@ -36,10 +36,15 @@ def clip(value: Column, low: float, high: float) -> Column:
 def round_half_up(value: Column, digits: int) -> Column:
     """Round half away from zero on the decimal value, as SQL NUMERIC does.
 
-    The detour through a decimal with four spare places removes binary noise
-    such as 1.00499999999999989 before the tie is decided.
+    The value is first taken at 15 significant digits, as a cast to NUMERIC takes
+    it, which removes binary noise such as 1.00499999999999989; at 13 where these
+    leave two places to spare, because the order of a sum shows in the last two.
+    Values from 1e15, infinities and NaN have no places to round and stay as they are.
     """
-    return F.round(value.try_cast(f"decimal(38,{digits + 4})"), digits).cast("double")
+    number = value.cast("double")
+    short, long = F.format_string("%.12e", number), F.format_string("%.14e", number)
+    decimal = F.when(F.abs(number) < 10.0 ** (11 - digits), short).otherwise(long).try_cast("decimal(38,20)")
+    return F.when(F.abs(number) >= 1e15, number).otherwise(F.round(decimal, digits).cast("double"))
 
 
 def round_half_even(value: Column, digits: int) -> Column:

@@ -2,8 +2,10 @@
 
 
 def r(expression: str, digits: int = 4) -> str:
-    """Round half away from zero on the decimal value, as a double."""
-    return f"cast(round(cast({expression} as decimal(38,{digits + 4})), {digits}) as double)"
+    """Round half away from zero on the value's 13 significant digits, large ones on 15, as a double."""
+    x = f"cast({expression} as double)"
+    text = f"case when abs({x}) < 1e{11 - digits} then printf('%.12e', {x}) else printf('%.14e', {x}) end"
+    return f"cast(round(cast({text} as decimal(38,20)), {digits}) as double)"
 
 
 def even(expression: str, digits: int) -> str:

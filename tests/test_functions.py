@@ -1,4 +1,5 @@
 import datetime
+import math
 
 from pyspark.sql import functions as F
 
@@ -23,6 +24,13 @@ def test_half_up_decides_ties_on_the_decimal_value(spark):
         assert value(spark, round_half_up(F.lit(x), 2)) == expected
 
 
+def test_half_up_rounds_once_and_keeps_what_has_no_places(spark):
+    for x, expected in [(1.00499996, 1.0), (1.0049, 1.0), (1234567890123.25, 1234567890123.25), (1e33, 1e33), (float("inf"), float("inf")), (0, 0.0)]:
+        assert value(spark, round_half_up(F.lit(x), 2)) == expected
+    assert math.isnan(value(spark, round_half_up(F.lit(float("nan")), 2)))
+    assert value(spark, round_half_up(F.lit(None).cast("double"), 2)) is None
+
+
 def test_half_even_matches_binary_rounding(spark):
     for x, digits, expected in [(0.8125, 3, 0.812), (0.8135, 3, 0.814), (2.5, 0, 2.0), (8.345, 2, 8.35)]:
         assert value(spark, round_half_even(F.lit(x), digits)) == round(x * 10**digits) / 10**digits
