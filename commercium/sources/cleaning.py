@@ -12,9 +12,25 @@ from commercium.functions import count_if, ratio
 UNKNOWN = "Unknown"
 
 
+#: Ways to write a date besides ISO, tried in this order: an ambiguous one is month first.
+DATE_FORMATS = ("M/d/yyyy", "d/M/yyyy", "yyyy/M/d", "d-M-yyyy", "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "yyyyMMdd")
+
+
+def _coerced(df: DataFrame, column: str, wanted: str):
+    plain = F.col(column).try_cast(wanted)
+    if wanted not in ("date", "timestamp") or df.schema[column].dataType.simpleString() != "string":
+        return plain
+    text = F.trim(column)
+    others = [F.try_to_timestamp(text, F.lit(f)).cast(wanted) for f in DATE_FORMATS]
+    return F.coalesce(text.try_cast(wanted), *others)
+
+
 def coerce_types(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
-    """Cast the named columns; text that does not parse becomes NULL."""
-    return df.withColumns({c: F.col(c).try_cast(t) for c, t in types.items() if c in df.columns})
+    """Cast the named columns; text that does not parse becomes NULL.
+
+    Dates may be written in ISO or one of ``DATE_FORMATS``, each row for itself.
+    """
+    return df.withColumns({c: _coerced(df, c, t) for c, t in types.items() if c in df.columns})
 
 
 def _usable(required: Sequence[str], positive: Sequence[str]):

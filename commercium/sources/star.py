@@ -256,7 +256,7 @@ def industry_growth(spark: SparkSession, root: str) -> DataFrame:
 
 
 def raw_order_feed(spark: SparkSession, root: str) -> DataFrame:
-    """Order lines as an untyped feed: free-form column names, text values, bad cells."""
+    """Order lines as an untyped feed: free-form column names, text values."""
 
     def text(value: Column) -> Column:
         return value.cast("decimal(28,10)").cast("string")
@@ -267,21 +267,15 @@ def raw_order_feed(spark: SparkSession, root: str) -> DataFrame:
     fact = line.join(lookup, line.l_orderkey == lookup.o_orderkey, "left").join(
         part, line.l_partkey == part.p_partkey, "left"
     )
-    number, flag = F.col("l_linenumber"), F.col("l_returnflag")
     unit_price = F.col("l_extendedprice") / F.col("l_quantity")
-    bad_date, bad_quantity, bad_price = (
-        (number == 7) & (flag == "R"),
-        (number == 6) & (flag == "A"),
-        (number == 5) & (flag == "N"),
-    )
     return fact.select(
-        F.when(bad_date, "not a date").otherwise(F.col("order_date").cast("string")).alias(" Order Date "),
+        F.col("order_date").cast("string").alias(" Order Date "),
         F.concat(F.lit("SKU-"), F.col("l_partkey")).alias("Product SKU"),
-        F.when(bad_quantity, "n/a").otherwise(F.col("l_quantity").cast("bigint").cast("string")).alias("QTY"),
-        F.when(bad_price, "-1").otherwise(text(unit_price * (1 - F.col("l_discount")))).alias("Selling Price"),
+        F.col("l_quantity").cast("bigint").cast("string").alias("QTY"),
+        text(unit_price * (1 - F.col("l_discount"))).alias("Selling Price"),
         text(unit_price).alias("List Price"),
         F.col("p_type").alias("Business Unit"),
-        F.nullif(F.col("region"), F.lit("ASIA")).alias("Region"),
+        F.col("region").alias("Region"),
         F.when(F.col("l_linestatus") == "O", "Direct").otherwise("Distributor").alias("Channel"),
-        F.nullif(F.col("customer_tier"), F.lit("MACHINERY")).alias("Customer Segment"),
+        F.col("customer_tier").alias("Customer Segment"),
     )

@@ -7,19 +7,15 @@ _LABEL = "concat(year({0}), 'Q', quarter({0}))"
 
 _FEED = """
 feed as (
-select case when l_linenumber = 7 and l_returnflag = 'R' then 'not a date'
-            else cast(cast(o_orderdate as date) as varchar) end as order_date,
+select cast(cast(o_orderdate as date) as varchar) as order_date,
        concat('SKU-', l_partkey) as sku,
-       case when l_linenumber = 6 and l_returnflag = 'A' then 'n/a'
-            else cast(cast(l_quantity as bigint) as varchar) end as quantity,
-       case when l_linenumber = 5 and l_returnflag = 'N' then '-1'
-            else cast(cast(l_extendedprice / l_quantity * (1 - l_discount) as decimal(28,10)) as varchar)
-            end as net_price,
+       cast(cast(l_quantity as bigint) as varchar) as quantity,
+       cast(cast(l_extendedprice / l_quantity * (1 - l_discount) as decimal(28,10)) as varchar) as net_price,
        cast(cast(l_extendedprice / l_quantity as decimal(28,10)) as varchar) as list_price,
        p_type as business_unit,
-       nullif(r_name, 'ASIA') as region,
+       r_name as region,
        case when l_linestatus = 'O' then 'Direct' else 'Distributor' end as channel,
-       nullif(c_mktsegment, 'MACHINERY') as customer_tier
+       c_mktsegment as customer_tier
 from lineitem
 left join orders on l_orderkey = o_orderkey
 left join customer on o_custkey = c_custkey

@@ -144,3 +144,17 @@ def test_csv_columns_are_found_by_header_name(spark, tmp_path):
     (tmp_path / "a.csv").write_text("region,quantity,sku\nEU,3,S1\nUS,many,S2\n")
     rows = readers.read_csv(spark, str(tmp_path / "a.csv"), "sku string, region string, quantity bigint").collect()
     assert [tuple(r) for r in rows] == [("S1", "EU", 3), ("S2", "US", None)]
+
+
+def test_dates_are_read_in_several_ways(spark):
+    written = ["2024-03-04", "03/04/2024", "4 Mar 2024", "Mar 4, 2024", "2024/3/4", "20240304", "not a date", "", None]
+    df = spark.createDataFrame([(x,) for x in written], "order_date string")
+    read = [r[0] for r in cleaning.coerce_types(df, cleaning.ORDER_TYPES).collect()]
+    assert read == [datetime.date(2024, 3, 4)] * 6 + [None] * 3
+
+
+def test_bad_cells_are_removed_and_missing_categories_named(spark):
+    rows = [("2024-01-02", "S", "3", "2.5", None), ("never", "S", "3", "2.5", "EU"), ("2024-01-02", "S", "n/a", "2", "EU"), ("2024-01-02", "S", "1", "-1", "EU")]
+    df = spark.createDataFrame(rows, "order_date string, sku string, quantity string, net_price string, region string")
+    kept = cleaning.clean_orders(df).collect()
+    assert [(r["quantity"], r["region"], r["channel"]) for r in kept] == [(3.0, "Unknown", "Unknown")]
