@@ -23,6 +23,8 @@ QUERIES: dict[str, Query] = {}
 
 _NUMERIC = ["list_price", "net_price", "discount_pct", "quantity", "revenue"]
 _ROBUST = ["order_date", "sku", "region", "channel", "customer_tier", "list_price", "net_price", "quantity"]
+_SCENARIO = ["order_date", "sku", "list_price", "net_price", "quantity"]
+_SOLD = ["quantity", "net_price"]
 _HEADLINE = ["order_id", "order_date", "business_unit", "sku", "region", "channel", "customer_tier", "net_price", "quantity"]
 _MONEY = dict.fromkeys(["baseline_revenue", "scenario_revenue", "revenue_change", "scenario_quantity"], 2)
 _ORDER_KEY = ["order_date", "order_id", "sku", "region", "channel", "customer_tier", "log_quantity", "log_net_price", "log_ppi"]
@@ -47,17 +49,21 @@ def _orders(spark: SparkSession, root: str, *names: str) -> DataFrame:
     return star.pricing_orders(spark, root, list(names) or star.PRICING_COLUMNS)
 
 
+def _fit_for_scenarios(orders: DataFrame) -> DataFrame:
+    return cleaning.keep_usable(orders, _SCENARIO, ["net_price", "list_price", "quantity"])
+
+
+def _with_revenue(orders: DataFrame) -> DataFrame:
+    return cleaning.keep_usable(orders, _SOLD, _SOLD)
+
+
 def _scenario_orders(spark: SparkSession, root: str, *names: str) -> DataFrame:
     """Orders fit for scenarios: dated, with positive prices and quantity."""
-    needed = ["order_date", "sku", "list_price", "net_price", "quantity"]
-    rows = _orders(spark, root, *dict.fromkeys([*needed, *names]))
-    return cleaning.keep_usable(rows, needed, ["net_price", "list_price", "quantity"])
+    return _fit_for_scenarios(_orders(spark, root, *dict.fromkeys([*_SCENARIO, *names])))
 
 
 def _revenue_orders(spark: SparkSession, root: str, *names: str) -> DataFrame:
-    needed = ["quantity", "net_price"]
-    rows = _orders(spark, root, *dict.fromkeys([*needed, *names]))
-    return cleaning.keep_usable(rows, needed, needed)
+    return _with_revenue(_orders(spark, root, *dict.fromkeys([*_SOLD, *names])))
 
 
 def _scored(spark: SparkSession, root: str) -> DataFrame:
@@ -652,23 +658,25 @@ def mart_results(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """Every result of the mart layout.
 
     The joined facts and the summary are staged: many results read a few columns
-    of each, and the joins run once.
+    of each, and the joins run once. The facts are staged whole, and each result
+    applies the rule of the query of its name.
     """
     base = scenarios.ELASTICITY_BASE
-    orders = stage(_scenario_orders(spark, root, *star.PRICING_COLUMNS), "mart-orders")
+    facts = stage(_orders(spark, root, *star.PRICING_COLUMNS), "mart-orders")
+    sold, orders = _with_revenue(facts), _fit_for_scenarios(facts)
     scored = stage(_scored(spark, root), "mart-scored")
-    scored_risk = risk.initiative_risk(scored)
+    scored_risk = stage(risk.initiative_risk(scored), "mart-risk")
     summary = stage(_summary(spark, root), "mart-summary")
     robust = elasticity.robustness_results(_quarterly_sample(spark, root))
     return {
-        "overall_pricing_scenarios": scenarios.overall_scenarios(orders, base),
-        "business_unit_pricing_scenarios": scenarios.business_unit_scenarios(orders, base),
-        "region_pricing_scenarios": scenarios.region_scenarios(orders, base),
-        "sku_pricing_scenarios": scenarios.sku_scenarios(orders, base),
+        "overall_pricing_scenarios": scenarios.overall_scenarios(sold, base),
+        "business_unit_pricing_scenarios": scenarios.business_unit_scenarios(sold, base),
+        "region_pricing_scenarios": scenarios.region_scenarios(sold, base),
+        "sku_pricing_scenarios": scenarios.sku_scenarios(sold, base),
         "pricing_scenarios": scenarios.pricing_scenarios(orders),
         "segment_pricing_opportunities": scenarios.segment_opportunities(orders),
         "sku_pricing_opportunities": scenarios.sku_opportunities(orders),
-        "discount_profile": pricing.discount_profile(orders),
+        "discount_profile": pricing.discount_profile(sold),
         "elasticity_sensitivity": scenarios.elasticity_sensitivity(orders),
         "robustness_results": robust,
         "robustness_summary": elasticity.robustness_summary(robust),
