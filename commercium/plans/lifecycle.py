@@ -79,7 +79,7 @@ def scored_initiatives(initiatives: DataFrame) -> DataFrame:
 
 def initiative_scores(initiatives: DataFrame) -> DataFrame:
     """Full scored table, with the dense rank of the unrounded health in its quarter."""
-    measured = health_measures(initiatives)
+    measured = stage(health_measures(initiatives), "health")
     ranked = value_ranks(measured, "aos_health", ["quarter"], dense_rank="priority_rank")
     return _persisted(ranked)
 

@@ -24,13 +24,20 @@ def null_profile(df: DataFrame) -> DataFrame:
 
 
 def fact_profile(orders: DataFrame) -> DataFrame:
-    """Rows, date and index range and distinct counts of a fact joined to its index."""
-    return orders.agg(
-        F.count(F.lit(1)).alias("observations"),
-        F.min("order_date").alias("first_order"),
-        F.max("order_date").alias("last_order"),
-        F.min("ppi_index").alias("index_min"),
-        F.max("ppi_index").alias("index_max"),
+    """Rows, date and index range and distinct counts of a fact joined to its index.
+
+    The fact is grouped by the counted keys first; only the groups are counted apart.
+    """
+    groups = orders.groupBy("sku", "region", "channel", "customer_tier", "quarter").agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[f(c).alias(f"{f.__name__}_{c}") for c in ("order_date", "ppi_index") for f in (F.min, F.max)],
+    )
+    return groups.agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("observations"),
+        F.min("min_order_date").alias("first_order"),
+        F.max("max_order_date").alias("last_order"),
+        F.min("min_ppi_index").alias("index_min"),
+        F.max("max_ppi_index").alias("index_max"),
         F.countDistinct("sku").alias("skus"),
         F.countDistinct("region").alias("regions"),
         F.countDistinct("channel").alias("channels"),
