@@ -204,3 +204,10 @@ def test_list_price_specifications_need_a_list_price(spark):
     assert [r["model"].split(".")[0] for r in results] == ["1", "2", "3", "4", "5", "6", "9", "10"]
     assert all(r["ci_low"] < r["elasticity"] < r["ci_high"] for r in results)
     assert results[-1]["observations"] < results[0]["observations"] == 240
+
+
+def test_fits_without_free_rows_keep_their_coefficients(spark):
+    rows = [(0, 1.0, 2.0), (1, 2.0, 4.0)]
+    fit = regression.fixed_effects_ols(spark.createDataFrame(rows, "sku int, x double, y double"), "y", ["x"])
+    assert fit.term("x")["coefficient"] == pytest.approx(2.0)
+    assert all(v != v for v in (fit.term("x")["std_error"], fit.term("x")["p_value"], fit.adj_r_squared))
