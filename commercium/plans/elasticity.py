@@ -7,6 +7,7 @@ they shuffle.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -112,6 +113,12 @@ def prepared_monthly(orders: DataFrame, index: DataFrame) -> DataFrame:
     )
 
 
+def _direction(coefficient: float) -> str | None:
+    if math.isnan(coefficient):
+        return None
+    return "negative" if coefficient < 0 else "positive"
+
+
 def result_row(name: str, fit: Fit) -> tuple:
     """Price coefficient of a fit as one row of the results table."""
     price = fit.term(PRICE)
@@ -126,7 +133,7 @@ def result_row(name: str, fit: Fit) -> tuple:
         fit.r_squared,
         fit.adj_r_squared,
         price["p_value"] < SIGNIFICANCE,
-        "negative" if price["coefficient"] < 0 else "positive",
+        _direction(price["coefficient"]),
     )
 
 
@@ -195,7 +202,7 @@ def model_terms(spark: SparkSession, name: str, fit: Fit) -> DataFrame:
                 fit.r_squared,
                 fit.adj_r_squared,
                 fit.observations,
-                "negative" if t["coefficient"] < 0 else "positive",
+                _direction(t["coefficient"]),
                 t["p_value"] < SIGNIFICANCE,
             )
         )

@@ -100,10 +100,50 @@ def test_regressor_constant_inside_levels_is_absorbed(spark):
     assert fit.term("p")["std_error"] == pytest.approx(se[0], rel=1e-8)
 
 
-def test_too_many_levels_and_empty_samples_are_refused(spark):
-    many = spark.range(700).select(F.col("id").cast("string").alias("k"))
-    with pytest.raises(ValueError, match="too many levels"):
-        regression.category_levels(many, ["k"])
+def test_a_term_without_variation_is_named(spark):
+    rows = [(*r[:4], 3e8 + len(r[0]), r[5]) for r in panel()]
+    fit = regression.fixed_effects_ols(spark.createDataFrame(rows, NAMES), "y", ["p", "c"], "sku", ["quarter"], "sku")
+    assert fit.dropped == ("c",)
+    assert all(v != v for v in fit.term("c").values()) and fit.term("p")["coefficient"] < 0
+
+
+@pytest.mark.parametrize("spread", [1.0, 1e4, 1e6])
+def test_wide_levels_do_not_hide_the_slope(spark, spread):
+    rng = np.random.default_rng(5)
+    rows, flat = [], []
+    for k in range(2000):
+        u, v = rng.normal(), rng.normal() * 0.1
+        sku = k % 20
+        rows.append((f"S{sku}", f"q{k % 7}", "r", spread * sku + u, 0.0, -0.7 * u + 3 * spread * sku + v))
+        flat.append((f"S{sku}", f"q{k % 7}", "r", u, 0.0, -0.7 * u + v))
+    b, se, u, k, _, _ = dense_fit(flat, ["p"], ["quarter"], "sku")
+    fit = regression.fixed_effects_ols(spark.createDataFrame(rows, NAMES), "y", ["p"], "sku", ["quarter"], "sku")
+    assert fit.term("p")["coefficient"] == pytest.approx(b[0], rel=1e-7)
+    assert fit.term("p")["std_error"] == pytest.approx(se[0], rel=1e-6)
+    assert fit.rss == pytest.approx(u @ u, rel=1e-6) and fit.parameters == k and not fit.dropped
+
+
+def test_two_thousand_levels_equal_the_dense_fit(spark):
+    rng = np.random.default_rng(6)
+    sku, quarter, p = rng.integers(0, 30, 6000), np.arange(6000) % 2000, rng.normal(size=6000)
+    y = 0.1 * sku - 0.7 * p + rng.normal(size=2000)[quarter] + 0.3 * rng.normal(size=6000)
+    X = np.zeros((6000, 1 + 30 + 1999))
+    X[:, 0] = p
+    X[np.arange(6000), 1 + sku] = 1
+    X[quarter > 0, 30 + quarter[quarter > 0]] = 1
+    inverse = np.linalg.inv(X.T @ X)
+    u = y - X @ (b := inverse @ X.T @ y)
+    scores = np.stack([X[sku == g].T @ u[sku == g] for g in range(30)])
+    variance = (inverse @ (scores.T @ scores) @ inverse)[0, 0] * 30 / 29 * 5999 / (6000 - X.shape[1])
+    rows = [(f"S{s}", f"q{q:04d}", float(a), float(c)) for s, q, a, c in zip(sku, quarter, p, y, strict=True)]
+    df = spark.createDataFrame(rows, "sku string, quarter string, p double, y double")
+    fit = regression.fixed_effects_ols(df, "y", ["p"], "sku", ["quarter"], "sku")
+    assert fit.parameters == X.shape[1] and fit.rss == pytest.approx(u @ u, rel=1e-8)
+    assert fit.term("p")["coefficient"] == pytest.approx(b[0], rel=1e-8)
+    assert fit.term("p")["std_error"] == pytest.approx(np.sqrt(variance), rel=1e-7)
+
+
+def test_empty_samples_are_refused(spark):
     empty = spark.createDataFrame(panel(), NAMES).where("y > 1e9")
     with pytest.raises(ValueError, match="no observations"):
         regression.fixed_effects_ols(empty, "y", ["p"], "sku", [], "sku")
