@@ -121,7 +121,7 @@ def sketch_documents(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> D
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, places = text_bytes(batch.column(1))
-            for a, b in chunks(places, 2 << 20):
+            for a, b in chunks(places, 1 << 19):
                 values, bounds = shingle_sets(data[places[a] : places[b]], places[a : b + 1] - places[a])
                 count = np.diff(bounds)
                 keys = band_keys(sketches(values, bounds, bands * rows), bands, rows)
@@ -155,22 +155,18 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = []
-            for column in (2, 3):
-                data, places = text_bytes(batch.column(column))
-                parts = [
-                    (values[x:y])
-                    for a, b in chunks(places)
-                    for values, bounds in [shingle_sets(data[places[a] : places[b]], places[a : b + 1] - places[a])]
-                    for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)
-                ]
-                sets.append(parts)
+            sides = [text_bytes(batch.column(c)) for c in (2, 3)]
             linked = np.zeros(len(batch), bool)
-            for k, (x, y) in enumerate(zip(*sets, strict=True)):
-                both = np.concatenate([x, y])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                linked[k] = 100 * common >= percent * (len(both) - common)
+            # Stretches of pairs by the bytes of both their texts.
+            for a, b in chunks(sides[0][1] + sides[1][1]):
+                (x, at_x), (y, at_y) = [
+                    shingle_sets(data[places[a] : places[b]], places[a : b + 1] - places[a]) for data, places in sides
+                ]
+                for k in range(b - a):
+                    both = np.concatenate([x[at_x[k] : at_x[k + 1]], y[at_y[k] : at_y[k + 1]]])
+                    both.sort()
+                    common = int((both[1:] == both[:-1]).sum())
+                    linked[a + k] = 100 * common >= percent * (len(both) - common)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(linked)], names=["a", "b", "linked"]
             )
