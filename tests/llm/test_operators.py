@@ -168,6 +168,35 @@ def test_patterns_cover_the_demand_nearly_full():
     assert sequences <= 1.01 * (demand @ np.arange(4097)) / 4096 + 1
 
 
+def test_patterns_of_few_pieces_of_every_length_are_near_the_bound():
+    draw = np.random.default_rng(4)
+    for demand in (np.ones(4096, int), draw.integers(1, 4, 4096)):
+        demand = np.append(demand, 0)
+        demand[0] = 0
+        placed, sequences = np.zeros(4097, int), 0
+        for pattern, times in packing.solve(demand):
+            assert sum(length * copies for length, copies in pattern) <= 4096
+            for length, copies in pattern:
+                placed[length] += copies * times
+            sequences += times
+        assert (placed == demand).all()
+        assert sequences <= 1.005 * packing.fractional(demand)[1] + 1
+
+
+def test_multiplicative_weights_improve_a_cover_far_from_the_bound():
+    demand = np.zeros(101, int)
+    demand[[26, 27, 47, 48]] = 40  # best fit pairs 48 and 48, 47 and 47; 26, 27 and 47 fill a sequence
+    cover, bound = packing.fractional(demand, 100)
+    used = np.zeros(101)
+    for pattern, uses in cover.items():
+        assert sum(length * copies for length, copies in pattern) <= 100
+        for length, copies in pattern:
+            used[length] += copies * uses
+    assert (used >= demand - 1e-6).all()
+    assert bound <= sum(cover.values()) + 1e-6
+    assert sum(times for _, times in packing.solve(demand, 100)) < sum(t for _, t in packing._best_fit(demand, 100))
+
+
 def test_token_files(docs, spark, tmp_path):
     from tokenizers import Tokenizer
 
