@@ -1,8 +1,10 @@
 """Encoding with a SentencePiece merge vocabulary under seeded merge-dropout, and decoding.
 
 Merges run on an agenda, best score first and leftmost among equals. With dropout each
-merge taken from the agenda is skipped if a keyed hash of it falls below the rate, so
-other seeds give other segmentations of the same text, all of which decode to it.
+merge taken from the agenda is skipped if a hash of it falls below the rate, keyed by seed,
+document, the word's place, the two positions and the merged piece. So each occurrence of
+a word is drawn for itself; all segmentations decode to the text. Words keep what follows
+from few skips: the merges tried and the ids, so that most occurrences need draws only.
 """
 
 from __future__ import annotations
@@ -21,13 +23,23 @@ from commercium.llm.text import Words, mix, salt
 from commercium.llm.tokens import Encoder
 
 RATE = 0.1
-#: Ways to segment one word; a hash of the document and the word's place picks one of them.
-VARIANTS = 4
+#: Up to how many skips the ways of a word are kept, at most how many merges such a word
+#: tries without any, and how many ways a worker keeps. Ids do not depend on them.
+SKIPS, SHORT, WAYS = 4, 24, 300_000
+_ON_I, _ON_J, _ON_ID = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
+_MASK = 0xFFFFFFFFFFFFFFFF
 _SPACE = "▁"
 _LITERAL = "▁ in a text"
 _loaded: dict[tuple, "PieceEncoder"] = {}
 
 
+def _mixed(x: int) -> int:
+    """mix() of one number."""
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & _MASK
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & _MASK
+    return x ^ x >> 31
+
+
 class Vocabulary:
     """Pieces of a model file: ids and scores of ordinary pieces, ids of single bytes."""
 
@@ -49,10 +61,14 @@ class Vocabulary:
                 self.score[piece] = model.get_score(k)
                 self.bytes.append(piece.replace(_SPACE, " ").encode())
 
-    def segment(self, lead: int, word: str, rate: float, key: int) -> list[int]:
+    def segment(
+        self, lead: int, word: str, rate: float, key: int, forced: frozenset[int] | None = None, tried: list | None = None
+    ) -> list[int]:
         """Ids of ``lead`` spaces and a word. ``key`` seeds the dropout; ``rate`` 0 is the plain encoding.
 
-        The character that stands for a space in pieces is written as bytes where the word itself has it.
+        With ``forced`` just these merges are skipped; ``tried`` takes the numbers of all merges
+        in their order. The character that stands for a space in pieces is written as bytes
+        where the word itself has it.
         """
         symbols = [_SPACE] * lead + [_LITERAL if c == _SPACE else c for c in word]
         n = len(symbols)
@@ -68,11 +84,11 @@ class Vocabulary:
             _, i, pair, j = heapq.heappop(agenda)
             if not symbols[i] or not symbols[j] or symbols[i] + symbols[j] != pair or right[i] != j:
                 continue
-            if limit:
-                draw = (key ^ (i * 0x9E3779B97F4A7C15 + j * 0xC2B2AE3D27D4EB4F)) & 0xFFFFFFFFFFFFFFFF
-                draw = draw * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF
-                draw = (draw ^ draw >> 32) * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF
-                if draw >> 32 < limit:
+            if limit or forced is not None:
+                merge = (i * _ON_I + j * _ON_J + self.id[pair] * _ON_ID) & _MASK
+                if tried is not None:
+                    tried.append(merge)
+                if merge in forced if forced is not None else _mixed(key + merge & _MASK) >> 32 < limit:
                     continue
             symbols[i], symbols[j] = pair, ""
             after = right[i] = right[j]
@@ -98,44 +114,123 @@ class Vocabulary:
 
 
 class PieceEncoder(Encoder):
-    """Ids of texts under merge-dropout; a word's way is picked by a hash of its text's key and its place."""
+    """Ids of texts under merge-dropout, drawn for every occurrence of a word.
+
+    A way is a word with the merges skipped so far; it has the merges tried after the last
+    of them and the ids if none of these is skipped. The pool of words holds their first ways.
+    """
 
     leads = (_SPACE, _SPACE, "\n")
 
-    def __init__(self, path: str, rate: float, seed: int, variants: int):
+    def __init__(self, path: str, rate: float, seed: int, skips: int):
         self.vocabulary = Vocabulary(path)
-        self.rate, self.seed, self.variants = rate, seed, variants if rate else 1
+        self.rate, self.seed, self.skips = rate, seed, skips
         self.keep_spaces = True
         self.type = np.dtype("<u2" if len(self.vocabulary.bytes) <= 1 << 16 else "<u4")
         self._empty()
 
-    def _marks(self, words: Words, texts: np.ndarray | None) -> np.ndarray:
-        if texts is None or self.variants == 1:
-            return np.zeros(len(words.start), np.uint64)
-        place = np.arange(len(words.start)) - np.repeat(words.bounds[:-1], words.count)
-        return mix(np.repeat(texts, words.count) + place.astype(np.uint64)) % np.uint64(self.variants)
-
-    def _segment(self, lead: int, word: str, mark: int) -> list[int]:
-        raw = word.encode()
-        key = zlib.crc32(raw, self.seed & 0xFFFFFFFF) << 32 | zlib.crc32(raw, lead * self.variants + mark)
-        return self.vocabulary.segment(lead, word, self.rate, key ^ int(salt(self.seed + 1)))
+    def _empty(self) -> None:
+        super()._empty()
+        self.pool = np.zeros(0, np.int64)
+        self.ways: list[tuple[int, str, frozenset[int]]] = []
+        self.after: dict[tuple[int, int], int] = {}
+        self.merges, self.ids = np.zeros(0, np.uint64), np.zeros(0, self.type)
+        self.spans = np.zeros((0, 4), np.int64)  # first merge, merges, first id, ids
+
+    def _add(self, asked: list[tuple[int, str, frozenset[int], int]]) -> np.ndarray:
+        """Numbers of new ways: lead, word, merges skipped, and the last of them or -1."""
+        merges, ids, spans = [], [], []
+        for lead, word, forced, last in asked:
+            tried: list[int] = []
+            made = self.vocabulary.segment(lead, word, 0.0, 0, forced, tried)
+            rest = tried[tried.index(last) + 1 :] if forced else tried
+            if len(tried) > SHORT and not forced and self.rate:  # drawn merge by merge
+                rest, made = [], [] if made else made
+                spans.append((len(merges), -1, len(ids), 0))
+            else:
+                spans.append((len(merges), len(rest), len(ids), len(made)))
+            merges += rest
+            ids += made
+        first = len(self.ways)
+        own = np.array(spans, np.int64).reshape(-1, 4) + [len(self.merges), 0, len(self.ids), 0]
+        self.ways += [(lead, word, forced) for lead, word, forced, _ in asked]
+        self.merges = np.concatenate([self.merges, np.array(merges, np.uint64)])
+        self.ids = np.concatenate([self.ids, np.array(ids, self.type)])
+        self.spans = np.concatenate([self.spans, own])
+        return np.arange(first, len(self.ways))
 
     def _ids_of(self, words: list[str], marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        made = [
-            self._segment(1, w[1:], m) if w[0] == _SPACE else self._segment(0, w, m)
-            for w, m in zip(words, marks.tolist(), strict=True)
-        ]
-        places = np.concatenate([[0], np.cumsum([len(m) for m in made])]).astype(np.int64)
-        return np.array([i for m in made for i in m], self.type), places
+        asked = [(1, w[1:], frozenset(), -1) if w[0] == _SPACE else (0, w, frozenset(), -1) for w in words]
+        return self._add(asked), np.arange(len(words) + 1)
+
+    def _spell(
+        self, entry: np.ndarray, count: np.ndarray, words: Words, texts: np.ndarray | None
+    ) -> tuple[np.ndarray, np.ndarray]:
+        at = np.flatnonzero(count)
+        way = self.pool[self.first[entry[at]]]
+        place = np.arange(len(entry)) - np.repeat(words.bounds[:-1], words.count)
+        keys = np.zeros(len(words.count), np.uint64) if texts is None else texts
+        key = self._keys(np.repeat(keys, words.count)[at], place[at])
+        direct = np.zeros(len(at), bool)
+        limit = np.uint64(int(self.rate * (1 << 32)))
+        active = np.arange(len(at)) if limit else np.zeros(0, np.int64)
+        for depth in range(self.skips + 1):
+            long = self.spans[way[active], 1] < 0
+            direct[active[long]] = True
+            active = active[~long]
+            if not len(active):
+                break
+            many = self.spans[way[active], 1]
+            ends = np.cumsum(many)
+            nth = np.arange(int(ends[-1])) - np.repeat(ends - many, many)
+            merge = self.merges[np.repeat(self.spans[way[active], 0], many) + nth]
+            hit = np.flatnonzero(mix(np.repeat(key[active], many) + merge) >> np.uint64(32) < limit)
+            owner = np.repeat(np.arange(len(active)), many)[hit]
+            owner, one = np.unique(owner, return_index=True)  # the first skip of each
+            active, merge, nth = active[owner], merge[hit[one]], nth[hit[one]]
+            if depth == self.skips:
+                direct[active] = True
+                break
+            pairs, inverse = np.unique(way[active] << 16 | nth, return_inverse=True)
+            _, sample = np.unique(inverse, return_index=True)
+            fresh, asked = [], []
+            for pair, m in zip(pairs.tolist(), merge[sample].tolist(), strict=True):
+                if pair not in self.after and len(self.ways) + len(asked) < WAYS:
+                    lead, word, forced = self.ways[pair >> 16]
+                    fresh.append(pair)
+                    asked.append((lead, word, forced | {m}, m))
+            self.after.update(zip(fresh, self._add(asked).tolist(), strict=True))
+            child = np.array([self.after.get(pair, -1) for pair in pairs.tolist()], np.int64)[inverse]
+            direct[active[child < 0]] = True
+            active, child = active[child >= 0], child[child >= 0]
+            way[active] = child
+        first, size = self.spans[way, 2], self.spans[way, 3]
+        if not limit:
+            direct[:] = False
+        extra = []
+        for k in np.flatnonzero(direct).tolist():
+            lead, word, _ = self.ways[way[k]]
+            made = self.vocabulary.segment(lead, word, self.rate, int(key[k]))
+            first[k], size[k] = len(self.ids) + len(extra), len(made)
+            extra += made
+        pool = np.concatenate([self.ids, np.array(extra, self.type)])
+        ends = np.cumsum(size)
+        ids = pool[np.repeat(first - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        out = np.zeros(len(count), np.int64)
+        out[at] = size
+        return ids, out
+
+    def _keys(self, keys: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """A number for each occurrence, from its text's key, the seed and its place."""
+        return mix(mix(keys + salt(self.seed + 1)) + places.astype(np.uint64))
 
     def _whole(self, text: str, keys: np.ndarray | None, k: int) -> list[int]:
         # No piece holds a space after another character, so each run of spaces begins a part.
         parts = [(len(lead), word) for lead, word in re.findall("( *)([^ ]*)", " " + text) if lead] if text else []
-        if keys is None or self.variants == 1:
-            marks = [0] * len(parts)
-        else:
-            marks = (mix(keys[k] + np.arange(len(parts), dtype=np.uint64)) % np.uint64(self.variants)).tolist()
-        return [i for (lead, word), mark in zip(parts, marks, strict=True) for i in self._segment(lead, word, mark)]
+        own = np.full(len(parts), 0 if keys is None else keys[k], np.uint64)
+        drawn = self._keys(own, np.arange(len(parts))).tolist()
+        segment, rate = self.vocabulary.segment, self.rate
+        return [i for (lead, word), key in zip(parts, drawn, strict=True) for i in segment(lead, word, rate, key)]
 
     def whole(self, text: str) -> list[int]:
         return self._whole(text, None, 0)
@@ -158,21 +253,21 @@ class Decoder:
         return [body[a + 1 : b] for a, b in zip(places, places[1:], strict=False)]
 
 
-def piece_encoder(path: str, rate: float, seed: int, variants: int) -> PieceEncoder:
+def piece_encoder(path: str, rate: float, seed: int, skips: int) -> PieceEncoder:
     """The encoder of a file and its settings, kept for the life of a worker."""
-    key = (path, rate, seed, variants)
+    key = (path, rate, seed, skips)
     if key not in _loaded:
         _loaded[key] = PieceEncoder(*key)
     return _loaded[key]
 
 
 def encode_documents(
-    docs: DataFrame, model: str, rate: float = RATE, seed: int = 0, variants: int = VARIANTS
+    docs: DataFrame, model: str, rate: float = RATE, seed: int = 0, skips: int = SKIPS
 ) -> DataFrame:
     """doc_id and ids (array of int) of each text; NULL and empty texts have none."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = piece_encoder(model, rate, seed, variants)
+        own = piece_encoder(model, rate, seed, skips)
         for batch in batches:
             keys = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
             for first, ids, bounds in own.encode(batch.column(2), keys):
@@ -206,7 +301,7 @@ def decode_documents(encoded: DataFrame, model: str) -> DataFrame:
 
 
 def piece_digests(
-    docs: DataFrame, model: str, rate: float = RATE, seed: int = 0, variants: int = VARIANTS
+    docs: DataFrame, model: str, rate: float = RATE, seed: int = 0, skips: int = SKIPS
 ) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): n_tokens, ids_crc32, lossless.
 
@@ -218,7 +313,7 @@ def piece_digests(
     """
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = piece_encoder(model, rate, seed, variants)
+        own = piece_encoder(model, rate, seed, skips)
         decoder = Decoder(own.vocabulary)
         for batch in batches:
             keys = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)

@@ -129,10 +129,8 @@ class Encoder:
         if self.keep_spaces:
             whole[owner[count == _ODD]] = True
             count = np.where(whole[owner], 0, count)
-        ends = np.cumsum(count)
-        shift = np.repeat(self.first[entry] - (ends - count), count)
-        ids = self.pool[shift + np.arange(len(shift))]
-        bounds = np.concatenate([[0], ends])[words.bounds]
+        ids, count = self._spell(entry, count, words, keys)
+        bounds = np.concatenate([[0], np.cumsum(count)])[words.bounds]
         if whole.any():
             parts, sizes = [], np.diff(bounds)
             for k in range(texts):
@@ -146,6 +144,13 @@ class Encoder:
             ids, bounds = np.concatenate(parts), np.concatenate([[0], np.cumsum(sizes)])
         return ids, bounds
 
+    def _spell(
+        self, entry: np.ndarray, count: np.ndarray, words: Words, texts: np.ndarray | None
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in a row, and how many each has; words of ``count`` 0 have none."""
+        shift = np.repeat(self.first[entry] - (np.cumsum(count) - count), count)
+        return self.pool[shift + np.arange(len(shift))], count
+
     def encode(self, column: pa.Array, keys: np.ndarray | None = None):
         """(first text, ids, bounds) for stretches of texts; text first + k has ids[bounds[k]:bounds[k + 1]].
 

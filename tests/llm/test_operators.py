@@ -233,6 +233,26 @@ def test_merge_dropout_decodes_to_the_text():
             assert all(same) if encoder is plain else not all(same)
 
 
+def test_merge_dropout_draws_each_occurrence():
+    word = "the international cats"
+    text, n = " ".join([word] * 400), 400
+    kept, alone = pieces.PieceEncoder(PIECES, 0.3, 1, 4), pieces.PieceEncoder(PIECES, 0.3, 1, 0)
+    odd = pa.array([text, "a" * 300 + " " + text, None, "", text.replace(" ", "  ", 1)])
+    keys = np.arange(5, dtype=np.uint64)
+    (_, ids, bounds), (_, other, places) = next(kept.encode(odd, keys)), next(alone.encode(odd, keys))
+    assert (ids == other).all() and (bounds == places).all()  # ways kept do not change ids
+    vocabulary, ways = kept.vocabulary, set()
+    drawn = kept._keys(np.zeros(3 * n, np.uint64), np.arange(3 * n))
+    own = []
+    for k, w in enumerate(text.split(" ")):
+        made = vocabulary.segment(1, w, 0.3, int(drawn[k]))
+        own += made
+        if w == "international":
+            ways.add(tuple(made))
+    assert own == ids[: bounds[1]].tolist()
+    assert len(ways) > 4
+
+
 def test_classifiers_learn_and_survive_odd_rows(spark, table, root):
     docs, labels = (spark.read.parquet(f"{root.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
     scored = {r.doc_id: r for r in toxicity.toxicity(docs, labels).collect()}
