@@ -16,8 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from commercium.llm.text import Words, between, chunks, mix, salt, text_bytes
+from commercium.sources.staging import stage
 
-TRAIN_ROWS = 20_000
+TRAIN_ROWS = 20_000  # half of them at most for each class
+#: Parts of a class in order of a hash: 0 lexicon, 1 trees, 2 calibration; 50, 35 and 15 %.
+_PARTS = (0, 1, 2, 0, 0, 1, 0, 1, 0, 2, 0, 1, 0, 1, 0, 2, 0, 1, 0, 1)
 LEXICON_TERMS = 4_000
 _MIN_TEXTS, _MIN_ODDS = 4, 2.0
 TREES, DEPTH, BINS, RATE = 80, 4, 32, 0.15
@@ -179,20 +182,22 @@ class Trees:
         return out
 
 
-def boost(x: np.ndarray, y: np.ndarray, trees: int = TREES) -> Trees:
-    """Histogram boosting of the logistic loss: split gains from summed gradients and curvatures per bin."""
+def boost(x: np.ndarray, y: np.ndarray, weight: np.ndarray, trees: int = TREES) -> Trees:
+    """Histogram boosting of the weighted logistic loss: split gains from summed gradients and curvatures per bin."""
     edges = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) for c in x.T]
     # Rare values above every quantile, as lexicon hits are, keep a bin of their own.
     edges = [np.unique(np.append(e, c.min())) for e, c in zip(edges, x.T, strict=True)]
     codes = np.stack([np.searchsorted(e, c, "left") for e, c in zip(edges, x.T, strict=True)], axis=1)
-    rate = min(max(y.mean(), 1e-6), 1 - 1e-6)
+    rate = min(max(np.average(y, weights=weight), 1e-6), 1 - 1e-6)
+    # A side of a split needs a curvature of 1, or half of what the rarer class begins with if that is less.
+    floor = min(1.0, rate * (1 - rate) * min(float(weight[y == 1].sum()), float(weight[y == 0].sum())) / 2)
     start = math.log(rate / (1 - rate))
     margin = np.full(len(x), start)
     inner, width = 2**DEPTH - 1, BINS + 2
     all_features, all_thresholds, leaves = [], [], []
     for _ in range(trees):
         p = 1 / (1 + np.exp(-margin))
-        grad, curve = y - p, np.maximum(p * (1 - p), 1e-9)
+        grad, curve = weight * (y - p), weight * np.maximum(p * (1 - p), 1e-9)
         feature, threshold = np.zeros(inner, np.int64), np.full(inner, np.inf)
         node = np.zeros(len(x), np.int64)
         for level in range(DEPTH):
@@ -203,7 +208,7 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = TREES) -> Trees:
                 g = np.bincount(cell, grad, many * width).reshape(many, width).cumsum(axis=1)
                 h = np.bincount(cell, curve, many * width).reshape(many, width).cumsum(axis=1)
                 gain = g**2 / (h + 1) + (g[:, -1:] - g) ** 2 / (h[:, -1:] - h + 1) - g[:, -1:] ** 2 / (h[:, -1:] + 1)
-                gain = np.where((h > 1) & (h[:, -1:] - h > 1), gain, 0)[:, : len(edges[f])]
+                gain = np.where((h > floor) & (h[:, -1:] - h > floor), gain, 0)[:, : len(edges[f])]
                 cut = gain.argmax(axis=1)
                 value = gain[np.arange(many), cut]
                 better = value > best
@@ -221,16 +226,16 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = TREES) -> Trees:
     return Trees(np.array(all_features), np.array(all_thresholds), np.array(leaves), start)
 
 
-def isotonic(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def isotonic(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Points (margin, probability) of the best non-decreasing fit, by pooling neighbours."""
     order = np.argsort(margin, kind="stable")
     blocks: list[tuple[float, float, float]] = []  # toxic rows, rows, sum of margins
-    for at, hit in zip(margin[order].tolist(), y[order].tolist(), strict=True):
-        blocks.append((hit, 1, at))
+    for at, hit, own in zip(margin[order].tolist(), y[order].tolist(), weight[order].tolist(), strict=True):
+        blocks.append((hit * own, own, at * own))
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             last = blocks.pop()
             blocks[-1] = tuple(u + v for u, v in zip(blocks[-1], last, strict=True))
-    # Interpolated between the blocks' mean margins; a pseudo row keeps 0 and 1 off the ends.
+    # Interpolated between the blocks' mean margins; a pseudo row of weight 1 keeps 0 and 1 off the ends.
     points = np.array([b[2] / b[1] for b in blocks])
     return points, np.maximum.accumulate([(b[0] + 0.5) / (b[1] + 1) for b in blocks])
 
@@ -267,21 +272,36 @@ def _feature_rows(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model | None:
-    """A model from at most ``train_rows`` labelled rows, those of the smallest hash; None if a class is missing.
-
-    Of several labels of one doc_id the largest counts. Half of the rows make the
-    lexicons (terms by smoothed log odds), 35 % the trees, 15 % the calibration.
+    """A model from at most ``train_rows`` labelled rows; None if no text of one class is labelled.
+
+    Of several labels of one doc_id the largest counts. Of each class the rows of the
+    smallest hash are taken, at most half of ``train_rows``; trees and calibration weigh
+    them back to the shares of the classes. Half of the rows of each class make the
+    lexicons (terms by smoothed log odds), 35 % the trees, 15 % the calibration; all parts
+    share the rows of a class of fewer than three, and trees and calibration theirs if
+    one of them has a class without texts.
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    part = F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(20))
-    sample = sample.withColumn("part", F.when(part < 10, 0).when(part < 17, 1).otherwise(2).cast("int"))
-    # At most train_rows pairs of numbers are broadcast.
+    # Only labels of documents at hand count for the bound.
+    known = stage(known.join(docs.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_semi"), "known_labels")
+    sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    if not sizes.get(0) or not sizes.get(1):
+        return None
+    rows_of, totals, weights = [], {}, {}
+    for kind in (0, 1):
+        own = known.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max(train_rows // 2, 1))
+        ids = [r["doc_id"] for r in own.collect()]
+        dealt = [(i, kind, _PARTS[k % len(_PARTS)]) for k, i in enumerate(ids)]
+        if len(ids) < 3:
+            dealt = [(i, kind, part) for i in ids for part in range(3)]
+        rows_of += dealt
+        totals[kind] = sum(part == 0 for _, _, part in dealt)
+        weights[kind] = sizes[kind] / len(ids)
+    id_type = known.schema["doc_id"].dataType.simpleString()
+    sample = docs.sparkSession.createDataFrame(rows_of, f"doc_id {id_type}, toxic int, part int")
+    # At most train_rows rows of numbers are broadcast.
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
     counted = term_counts(rows.where("part = 0"))
-    totals = {r["toxic"]: r["n"] for r in sample.where("part = 0").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    if not totals.get(0) or not totals.get(1):
-        return None
     odds = F.log((F.col("pos") + 0.5) / (totals[1] + 1.0)) - F.log((F.col("neg") + 0.5) / (totals[0] + 1.0))
     best = counted.where(F.col("pos") >= _MIN_TEXTS).withColumn("odds", odds).where(F.col("odds") >= _MIN_ODDS)
     terms = best.orderBy(F.desc(F.col("odds") * F.sqrt("pos")), "term").limit(LEXICON_TERMS).select("term", "odds").toPandas()
@@ -291,11 +311,15 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
     y, calibrate = fitted["toxic"].to_numpy(float), fitted["part"].to_numpy() == 2
     order = np.lexsort((*x.T, y, calibrate))  # the same model whatever the order of the rows
     x, y, calibrate = x[order], y[order], calibrate[order]
-    for own in (y[~calibrate], y[calibrate]):
-        if not len(own) or own.min() == own.max():
-            return None
-    trees = boost(x[~calibrate], y[~calibrate])
-    return Model(lexicon, trees, isotonic(trees.margin(x[calibrate]), y[calibrate]))
+    weight = np.where(y == 1, weights[1], weights[0])
+    weight = weight / weight.min() if len(y) else weight
+    fit = ~calibrate
+    if any(len(np.unique(y[part])) < 2 for part in (fit, calibrate)):
+        fit = calibrate = np.ones(len(y), bool)
+    if len(np.unique(y)) < 2:
+        return None
+    trees = boost(x[fit], y[fit], weight[fit])
+    return Model(lexicon, trees, isotonic(trees.margin(x[calibrate]), y[calibrate], weight[calibrate]))
 
 
 def score_documents(docs: DataFrame, model: Model | None) -> DataFrame:

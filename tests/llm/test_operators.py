@@ -9,6 +9,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 
+import corpus_pipeline
 from commercium.llm import exact, language, near, packing, pieces, quality, sharding, substrings, token_files, toxicity
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -266,6 +267,27 @@ def test_classifiers_learn_and_survive_odd_rows(spark, table, root):
     assert [r.score for r in toxicity.toxicity(odd, labels.limit(0)).collect()] == [0.0] * 3
 
 
+def test_toxicity_learns_from_few_labels_of_a_class(spark, table, root):
+    docs, labels = (spark.read.parquet(f"{root}/{t}.parquet") for t in ("documents", "labels"))
+    scored = toxicity.toxicity(docs, labels).collect()
+    assert len({r.score for r in scored}) > 1
+    rows = [(k, f"you rotten fool number {k}" if k % 50 == 0 else f"the plain weather of day {k}") for k in range(1000)]
+    docs = table(rows)
+    labels = table([(k, int(k % 50 == 0)) for k, _ in rows], "doc_id long, toxic int")
+    for bound in (20_000, 40):  # 40: 20 of each class, where the smallest hashes hold hardly one toxic row
+        kept = {r.doc_id for r in toxicity.drop_toxic(docs, labels, bound).collect()}
+        assert kept == {k for k, _ in rows if k % 50}
+
+
+def test_toxicity_stage_rejects_documents(spark, root):
+    folder = root.replace("0.001", "0.01")
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    predicted = {r.doc_id: r.predicted for r in toxicity.toxicity(docs, labels).collect()}
+    kept = {r.doc_id for r in corpus_pipeline.stage(corpus_pipeline.drop_toxic(spark, docs, folder), "toxicity").collect()}
+    assert any(predicted.values())
+    assert kept == {i for i, p in predicted.items() if not p}
+
+
 def test_empty_tables(table):
     none = table([])
     for out in (
