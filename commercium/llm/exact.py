@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from commercium.llm.text import mix, salt
+from commercium.llm.text import mix, salt, spare
 from commercium.sources.staging import stage
 
 DIGESTS_PER_BUCKET = 20_000
@@ -138,8 +138,8 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     Further columns are ignored; an empty table gives no rows.
     """
     rows = stage(digest_rows(docs), "digests")
-    middle = rows.select(((F.min("doc_id") + F.max("doc_id")) / 2).cast("long")).first()[0]
-    middle = 0 if middle is None else middle
+    low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
+    middle = 0 if low is None else (low + high) // 2  # Python's integers do not overflow
     old = F.coalesce(F.col("doc_id") <= middle, F.lit(True))
     groups = dedup_groups(rows.where(old), rows.where(~old))
     keep = F.when(F.col("keep_id") != -(2**63), F.col("keep_id"))
@@ -156,25 +156,23 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
 def keep_distinct(docs: DataFrame) -> DataFrame:
     """``docs`` with all its columns, one row for each distinct text: that of the largest doc_id.
 
-    Rows that repeat both doc_id and text stay once.
+    Rows that repeat both doc_id and text stay once. NULL text equals the empty text; a
+    NULL doc_id loses to any other. Further columns are carried along whatever their
+    names; an empty table gives no rows.
     """
-    kept = exact_dedup(docs.select("doc_id", "text")).where("kept").select(
-        F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")
-    ).distinct()
-    sha = F.sha2(F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8"), 256)
-    joined = docs.withColumn("__sha", sha).join(
-        kept.withColumnRenamed("__sha", "__kept_sha"),
-        F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__kept_sha")),
-        "left_semi",
-    )
+    kept = exact_dedup(docs.select("doc_id", "text")).where("kept").select("doc_id", "text_sha256").distinct().alias("__kept")
+    sha = F.sha2(F.encode(F.coalesce(F.col("__docs.text"), F.lit("")), "UTF-8"), 256)
+    same = F.col("__docs.doc_id").eqNullSafe(F.col("__kept.doc_id")) & (sha == F.col("__kept.text_sha256"))
+    joined = docs.alias("__docs").join(kept, same, "left_semi")
     if docs.select("doc_id").distinct().count() < docs.count():
-        joined = joined.dropDuplicates(["doc_id", "__sha"])
-    return joined.drop("__sha")
+        body = spare(docs.columns, "body")
+        joined = joined.withColumn(body, F.coalesce("text", F.lit(""))).dropDuplicates(["doc_id", body]).drop(body)
+    return joined
 
 
 ORACLE = """
 select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size,
   doc_id = max(doc_id) over g as kept, sha256(coalesce(text, '')) as text_sha256,
-  min(doc_id) over g <= (select (min(doc_id) + max(doc_id)) // 2 from documents) as in_history
+  min(doc_id) over g <= (select (min(doc_id)::hugeint + max(doc_id)::hugeint) // 2 from documents) as in_history
 from documents window g as (partition by coalesce(text, ''))
 """

@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from commercium.llm.text import chunks, salt, text_bytes
@@ -150,21 +151,48 @@ class Leader:
         self.n[rows] = grown
 
 
+def share_of_rows(sizes: dict[str, int], rows: int) -> int:
+    """The largest number of rows a language may have so that all of them together have at most ``rows``, and 1 at least."""
+    left, per = rows, rows
+    for k, size in enumerate(sorted(sizes.values())):
+        per = left // (len(sizes) - k)
+        if size > per:
+            break
+        left -= size
+    return max(per, 1)
+
+
+def sample_rows(labelled: DataFrame, rows: int) -> DataFrame:
+    """(h, text, lang): about ``rows`` rows of ``labelled``, an even share of every language, one for each doc_id and text.
+
+    Rows are first thinned by hash to some times the share, so that only a bounded number
+    of texts is shuffled; rows alike in doc_id and text count once.
+    """
+    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    per = share_of_rows(sizes, rows)
+    h = F.xxhash64(F.col("doc_id").cast("string"), "text")
+    thin = labelled.sparkSession.createDataFrame(
+        [(name, min(1.0, (2 * per + 50) / n)) for name, n in sizes.items()], "lang string, __part double"
+    )
+    drawn = labelled.select(h.alias("h"), "text", "lang").join(F.broadcast(thin), "lang")  # a row per language
+    drawn = drawn.where((F.col("h") / F.lit(2.0**64) + 0.5) <= F.col("__part")).dropDuplicates(["lang", "h"])
+    first = F.row_number().over(W.partitionBy("lang").orderBy("h"))
+    return drawn.withColumn("__rank", first).where(F.col("__rank") <= per).select("h", "text", "lang")
+
+
 def train(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model | None:
     """A model from the text and lang of ``docs``; None without a labelled text.
 
     Document frequencies count all of ``docs``; the regression sees at most
-    ``train_rows`` whole texts, those of the smallest hash, a fifth of them kept for
-    the temperature.
+    ``train_rows`` whole texts, an even share of every language (one of each at least)
+    of the smallest hash, a fifth of them kept for the temperature.
     """
     labelled = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
     frequency, texts = document_frequency(labelled)
     if not texts:
         return None
     idf = np.log((1 + texts) / (1 + frequency)) + 1
-    ids = labelled.select(F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("id")).orderBy("h", "id").limit(train_rows)
-    last = ids.agg(F.max("h")).first()[0]  # a bound on the hash instead of a join
-    sample = labelled.where(F.xxhash64("doc_id") <= last)
+    sample = sample_rows(labelled, train_rows)
 
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,8 +210,7 @@ def train(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model | None:
                 )
 
     shape = "h long, lang string, bucket array<int>, n array<int>"
-    rows = sample.select(F.xxhash64("doc_id").alias("h"), "text", "lang").mapInArrow(shrink, shape).toPandas()
-    rows = rows.sort_values(["h", "lang"], kind="stable").head(train_rows)
+    rows = sample.mapInArrow(shrink, shape).toPandas().sort_values(["h", "lang"], kind="stable")
     languages = sorted(rows["lang"].unique())
     label = rows["lang"].map({name: k for k, name in enumerate(languages)}).to_numpy()
     inputs = []

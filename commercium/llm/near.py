@@ -112,7 +112,7 @@ def may_reach(a: str, b: str, sizes, percent: int):
     return bits * (100 + percent) <= sizes * (100 - percent)
 
 
-_SKETCHED = "doc_id long, n_shingles long, set_a long, set_b long, bands array<bigint>, bits array<bigint>"
+_SKETCHED = "doc_id long, row long, n_shingles long, set_a long, set_b long, bands array<bigint>, bits array<bigint>"
 
 
 def sketch_documents(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -120,7 +120,7 @@ def sketch_documents(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> D
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, places = text_bytes(batch.column(1))
+            data, places = text_bytes(batch.column(2))
             for a, b in chunks(places, 1 << 19):
                 values, bounds = shingle_sets(data[places[a] : places[b]], places[a : b + 1] - places[a])
                 count = np.diff(bounds)
@@ -132,6 +132,7 @@ def sketch_documents(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> D
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, b - a).cast(pa.int64()),
+                        batch.column(1).slice(a, b - a),
                         pa.array(count),
                         pa.array(sums[0].view(np.int64)),
                         pa.array(sums[1].view(np.int64)),
@@ -144,10 +145,54 @@ def sketch_documents(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> D
                             pa.array(bitmaps(values, bounds).reshape(-1)),
                         ),
                     ],
-                    names=["doc_id", "n_shingles", "set_a", "set_b", "bands", "bits"],
+                    names=["doc_id", "row", "n_shingles", "set_a", "set_b", "bands", "bits"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(sketch, _SKETCHED)
+    return docs.select("doc_id", "row", "text").mapInArrow(sketch, _SKETCHED)
+
+
+def shingle_rows(texts: DataFrame) -> DataFrame:
+    """(id, n, s): every distinct shingle hash s of ``texts`` (id, text), with the number n of them."""
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, places = text_bytes(batch.column(1))
+            for a, b in chunks(places):
+                values, bounds = shingle_sets(data[places[a] : places[b]], places[a : b + 1] - places[a])
+                count = np.diff(bounds)
+                owner = pa.array(np.repeat(np.arange(a, b), count))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(owner), pa.array(np.repeat(count, count)), pa.array(values.view(np.int64))],
+                    names=["id", "n", "s"],
+                )
+
+    return texts.select("id", "text").mapInArrow(spell, "id long, n long, s long")
+
+
+def rare_meetings(texts: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of ``texts`` (id, text) of different ``roots`` (id, root) that share a shingle of both prefixes.
+
+    With shingles ordered by how many texts hold them, a set's prefix is its first
+    n - ceil(percent * n / 100) + 1. Sets that reach the similarity share a shingle of their
+    prefixes, so none is left out, while texts that share only what many texts hold
+    hardly meet. Only members of different roots meet, never two of one root.
+    """
+    shingles = stage(shingle_rows(texts), "shingles")
+    common = shingles.groupBy("s").agg(F.count("*").alias("held")).where("held > 1")
+    own = W.partitionBy("id")
+    ranked = shingles.join(common, "s").select(
+        "id", "n", "s", F.row_number().over(own.orderBy("held", "s")).alias("rank"), F.count("*").over(own).alias("shared")
+    )
+    # The shingles that no other text holds come first in the order and meet nothing.
+    size = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    prefix = ranked.where(F.col("rank") <= size - (F.col("n") - F.col("shared"))).select("id", "s")
+    prefix = stage(prefix.join(roots, "id"), "prefixes")
+    sides = prefix.select("s", "root").distinct()
+    low, high = (sides.withColumnRenamed("root", f"root_{x}") for x in "ab")
+    meeting = low.join(high, "s").where("root_a < root_b")
+    for x in "ab":
+        meeting = meeting.join(prefix.select("s", F.col("root").alias(f"root_{x}"), F.col("id").alias(x)), ["s", f"root_{x}"])
+    return meeting.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -171,90 +216,110 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                 [batch.column(0), batch.column(1), pa.array(linked)], names=["a", "b", "linked"]
             )
 
-    with_a = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    with_a = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    both = with_a.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long, linked boolean")
 
 
 def _with_roots(members: DataFrame, links: DataFrame) -> DataFrame:
     roots = components(links)
-    joined = members.join(roots, members["rep"] == roots["node"], "left")
-    return joined.select(*members.columns, F.coalesce("root", "rep").alias("root"))
-
-
-def near_groups(docs: DataFrame, percent: int = 75, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): n_shingles, component_id, kept.
+    joined = members.join(roots, members["id"] == roots["node"], "left")
+    return joined.select(*members.columns, F.coalesce("root", "id").alias("root"))
 
-    Texts are linked at 100 * common >= percent * union of their shingle sets, all
-    links confirmed on full sets. Texts with the same set form a class and travel as
-    its smallest doc_id from then on. Candidates are found in three linear or bounded
-    steps that together leave out no pair of classes sharing a band:
-
-    1. In each band bucket every class is compared with the bucket's smallest, and
-       with its neighbour in stretches of about 64 members.
-    2. Links give components; a bucket inside one component is done.
-    3. In the others, pairs across components are compared, once.
 
-    A pair is compared on full sets only if the texts' sizes and parity bitmaps allow the
-    similarity, which they do for every similar pair. So a large group of near copies
-    costs a few comparisons per member, not their square.
-    NULL, empty and blank texts have empty sets, are linked with nothing and are their
-    own component. A row without doc_id is kept, with component_id NULL. Rows that
-    repeat a doc_id are alike. Further columns are ignored; an empty table gives no rows.
-    """
-    source = docs.select("doc_id", "text")
+def _grouped(docs: DataFrame, percent: int, bands: int, rows: int) -> DataFrame:
+    """``near_groups`` with ``row``, the hash of the text that tells rows of one doc_id apart."""
+    source = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("row"), "text")
     sketched = stage(sketch_documents(source, bands, rows), "sketches")
     named = sketched.where("n_shingles > 0 and doc_id is not null")
-    classes = stage(
-        named.groupBy("n_shingles", "set_a", "set_b").agg(F.min(F.struct("doc_id", "bands", "bits")).alias("x"))
-        .select("n_shingles", "set_a", "set_b", F.col("x.doc_id").alias("rep"), "x.bands", "x.bits"),
-        "classes",
-    )
-    keyed = classes.select(F.explode("bands").alias("key"), "rep")
-    shared = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("rep").alias("hub")).where("size > 1")
+    first = F.min(F.struct("doc_id", "row", "bands", "bits")).alias("x")
+    classes = named.groupBy("n_shingles", "set_a", "set_b").agg(first).select("n_shingles", "set_a", "set_b", "x.*")
+    # A number for each class, fixed by the written table: a doc_id may have texts in several.
+    classes = stage(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    keyed = classes.select(F.explode("bands").alias("key"), "id")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("hub")).where("size > 1")
     members = stage(keyed.join(shared, "key"), "buckets")
 
-    wanted = members.select("rep").distinct()
-    maps = stage(classes.select("rep", "n_shingles", "bits").join(wanted, "rep"), "bitmaps")
+    wanted = members.select("id").distinct()
+    wanted = stage(classes.select("id", "doc_id", "row", "n_shingles", "bits").join(wanted, "id"), "bitmaps")
 
-    def mapped(side: str) -> DataFrame:
-        return maps.select(F.col("rep").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}"))
+    def hopeful(pairs: DataFrame) -> DataFrame:
+        """``pairs`` that can reach the similarity by their sizes and bitmaps."""
+        for x in "ab":
+            own = [F.col("id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")]
+            pairs = pairs.join(wanted.select(*own), x)
+        n_a, n_b = F.col("n_a"), F.col("n_b")
+        near = F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent
+        return pairs.where(near & may_reach("bits_a", "bits_b", n_a + n_b, percent)).select("a", "b")
 
-    n_a, n_b = F.col("n_a"), F.col("n_b")
-    hopeful = (F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent) & may_reach("bits_a", "bits_b", n_a + n_b, percent)
-    to_hub = members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
+    to_hub = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b"))
     # The number of stretches is a power of two, so that neighbours agree between buckets.
     stretches = F.pow(2, F.ceil(F.log2(F.col("size") / MEMBERS_PER_CHAIN))).cast("long")
     many = F.col("size") > MEMBERS_PER_CHAIN
-    chain = members.withColumn("part", F.when(many, F.pmod(F.xxhash64("rep"), stretches)).otherwise(F.lit(0)))
-    along = W.partitionBy("key", "part").orderBy("rep")
-    chained = chain.select(F.col("rep").alias("a"), F.lead("rep").over(along).alias("b")).where("b is not null")
-    pairs = stage(to_hub.unionByName(chained).distinct(), "pairs")
-    pairs = stage(pairs.join(mapped("a"), "a").join(mapped("b"), "b").where(hopeful).select("a", "b"), "pairs")
+    chain = members.withColumn("part", F.when(many, F.pmod(F.xxhash64("id"), stretches)).otherwise(F.lit(0)))
+    along = W.partitionBy("key", "part").orderBy("id")
+    chained = chain.select(F.col("id").alias("a"), F.lead("id").over(along).alias("b")).where("b is not null")
+    pairs = stage(hopeful(stage(to_hub.unionByName(chained).distinct(), "pairs")), "pairs")
 
-    texts = stage(source.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id").dropDuplicates(["doc_id"]), "texts")
+    texts = source.join(wanted.select("id", "doc_id", "row"), ["doc_id", "row"]).dropDuplicates(["id"])
+    texts = stage(texts.select("id", "text"), "texts")
     checked = stage(_verified(pairs, texts, percent), "checked")
     links = checked.where("linked").select("a", "b")
-    rooted = stage(_with_roots(members.select("key", "rep"), links), "rooted")
+    rooted = stage(_with_roots(members.select("key", "id"), links), "rooted")
     mixed = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    across = rooted.join(mixed, "key")
-    left = across.select("key", F.col("rep").alias("a"), F.col("root").alias("root_a")).join(mapped("a"), "a")
-    right = across.select("key", F.col("rep").alias("b"), F.col("root").alias("root_b")).join(mapped("b"), "b")
-    rest = left.join(right, (left["key"] == right["key"]) & (F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & hopeful)
-    rest = rest.select("a", "b").distinct().join(checked, ["a", "b"], "left_anti")
+    across = stage(rooted.join(mixed, "key").select("id", "root").distinct(), "across")
+    rest = rare_meetings(texts.join(across.select("id"), "id"), across, percent)
+    rest = hopeful(rest.join(checked, ["a", "b"], "left_anti"))
     more = stage(_verified(stage(rest, "pairs"), texts, percent).where("linked").select("a", "b"), "links")
     if not more.isEmpty():
         links = links.unionByName(more)
     roots = components(links)
-    labelled = classes.select("n_shingles", "set_a", "set_b", "rep").join(roots, F.col("rep") == F.col("node"), "left")
-    labelled = stage(labelled.select("n_shingles", "set_a", "set_b", F.coalesce("root", "rep").alias("root")), "labels")
-    out = sketched.select("doc_id", "n_shingles", "set_a", "set_b").join(labelled, ["n_shingles", "set_a", "set_b"], "left")
-    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("root")).otherwise(F.col("doc_id"))
+    held = classes.select("n_shingles", "set_a", "set_b", "id", "doc_id").join(roots, F.col("id") == F.col("node"), "left")
+    held = stage(held.drop("node"), "members")
+    # Numbers of classes do not follow doc_ids; a group is named by its smallest doc_id.
+    least = held.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
+    named = held.join(least, "root", "left").select("n_shingles", "set_a", "set_b", F.coalesce("least", "doc_id").alias("least"))
+    out = sketched.select("doc_id", "row", "n_shingles", "set_a", "set_b")
+    out = out.join(stage(named, "labels"), ["n_shingles", "set_a", "set_b"], "left")
+    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("least")).otherwise(F.col("doc_id"))
     kept = F.coalesce(F.col("doc_id") == component, F.lit(True))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"))
+    return out.select("doc_id", "row", "n_shingles", component.alias("component_id"), kept.alias("kept"))
+
+
+def near_groups(docs: DataFrame, percent: int = 75, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): n_shingles, component_id, kept.
+
+    Texts are linked at 100 * common >= percent * union of their shingle sets, all
+    links confirmed on full sets. Texts with the same set form a class and travel as
+    one from then on. Candidates are found in three steps that together leave out no
+    similar pair of classes sharing a band:
+
+    1. In each band bucket every class is compared with the bucket's smallest, and
+       with its neighbour in stretches of about 64 members.
+    2. Links give components; a bucket inside one component is done.
+    3. Members of the others meet members of other components where they share a rare
+       shingle (``rare_meetings``, exact), whatever their buckets hold.
+
+    A pair is compared on full sets only if the texts' sizes and parity bitmaps allow the
+    similarity, which they do for every similar pair. So a large group of near copies
+    costs a few comparisons per member, and texts that share boilerplate hardly any.
+    NULL, empty and blank texts have empty sets, are linked with nothing and are their
+    own component. A row without doc_id is kept, with component_id NULL. Rows that
+    repeat a doc_id are judged by their own texts. Further columns are ignored; an empty
+    table gives no rows.
+    """
+    return _grouped(docs, percent, bands, rows).drop("row")
 
 
 def keep_one_of_each(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """``docs`` with all its columns, one document of each group: that of the smallest doc_id."""
-    dropped = near_groups(docs, percent).where("not kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(dropped, F.col("doc_id") == F.col("__id"), "left_anti")
+    """``docs`` with all its columns, one document of each group: that of the smallest doc_id.
+
+    Rows that repeat a doc_id go or stay by their own texts. NULL, empty and blank texts
+    and rows without doc_id stay. Further columns are carried along whatever their names;
+    an empty table gives no rows.
+    """
+    dropped = _grouped(docs.select("doc_id", "text"), percent, BANDS, ROWS).where("not kept")
+    dropped = dropped.select(F.col("doc_id").alias("id"), "row").distinct().alias("__dropped")
+    text = F.coalesce(F.col("__docs.text"), F.lit(""))
+    same = (F.col("__docs.doc_id") == F.col("__dropped.id")) & (F.xxhash64(text) == F.col("__dropped.row"))
+    return docs.alias("__docs").join(dropped, same, "left_anti")

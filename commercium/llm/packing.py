@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from commercium.llm.numbering import number_within
+from commercium.llm.numbering import SALT, number_within, salted
 from commercium.llm.tokens import encoder
 from commercium.sources.staging import stage
 
@@ -239,7 +239,7 @@ def _entries(patterns: list[tuple[list[tuple[int, int]], int]]) -> np.ndarray:
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``pieces`` (a written table with doc_id, piece, length, ids_crc32) with sequence_id and offset.
+    """``pieces`` (a written table of salted rows: doc_id, piece, length, ids_crc32) with sequence_id and offset.
 
     The driver holds the histogram, one number for each length up to ``capacity``, and
     the patterns found from it. A piece's rank within its length picks its place.
@@ -265,7 +265,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
     ranked = number_within(pieces, "length", ["doc_id", "piece", "ids_crc32"], "__rank")
     placed = ranked.withColumn("__place", place("length", "__rank"))
-    return placed.select(*pieces.columns, "__place.sequence_id", "__place.offset")
+    return placed.select(*[c for c in pieces.columns if c != SALT], "__place.sequence_id", "__place.offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -276,4 +276,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, en
     from 0. Repeated rows are packed once each; a NULL doc_id stays NULL. Further
     columns are ignored; an empty table gives no rows.
     """
-    return pack(stage(cut_documents(docs, tokenizer, capacity, end_id), "pieces"), capacity)
+    return pack(stage(salted(cut_documents(docs, tokenizer, capacity, end_id)), "pieces"), capacity)

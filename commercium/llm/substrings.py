@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from commercium.llm.text import Words, between, chunks, joined, mix, running, text_bytes
@@ -36,11 +36,11 @@ def _smallest(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def super_kmers(words: Words, window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """minimiser, key (hash of all its words), first word and number of windows of each super-k-mer."""
+    """minimiser, key (two hashes of all its words), first word and number of windows of each super-k-mer."""
     n = len(words.start)
     starts = np.flatnonzero(words.rest() >= window)
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), starts, starts
+        return *np.zeros((3, 0), np.uint64), starts, starts
     sums = running(words.hash)
     at = np.arange(n - gram + 1)
     small = _smallest(between(sums, at, at + gram), window - gram + 1)[starts]
@@ -51,11 +51,12 @@ def super_kmers(words: Words, window: int, gram: int) -> tuple[np.ndarray, ...]:
     begin = np.flatnonzero(within % RUN == 0)
     count = np.diff(np.append(begin, len(starts)))
     first = starts[begin]
-    key = between(sums, first, first + count + window - 1) + count.astype(np.uint64)
-    return small[begin], key, first, count
+    last = first + count + window - 1
+    key = between(sums, first, last) + count.astype(np.uint64)
+    return small[begin], key, between(running(mix(words.hash + np.uint64(2))), first, last), first, count
 
 
-_SCANNED = "doc_id long, row long, n_words long, sha binary, kmers array<struct<m:bigint,k:bigint,start:int,n:int>>"
+_SCANNED = "doc_id long, row long, n_words long, sha binary, kmers array<struct<m:bigint,k:bigint,q:bigint,start:int,n:int>>"
 
 
 def _scan(source: DataFrame, window: int, gram: int) -> DataFrame:
@@ -66,11 +67,11 @@ def _scan(source: DataFrame, window: int, gram: int) -> DataFrame:
             data, places = text_bytes(batch.column(2))
             for a, b in chunks(places):
                 words = Words(data[places[a] : places[b]], places[a : b + 1] - places[a])
-                m, k, first, count = super_kmers(words, window, gram)
+                m, k, q, first, count = super_kmers(words, window, gram)
                 bounds = np.searchsorted(first, words.bounds)
                 local = first - np.repeat(words.bounds[:-1], np.diff(bounds))
-                fields = [m.view(np.int64), k.view(np.int64), local.astype(np.int32), count.astype(np.int32)]
-                kmers = pa.StructArray.from_arrays([pa.array(x) for x in fields], names=["m", "k", "start", "n"])
+                fields = [*(x.view(np.int64) for x in (m, k, q)), local.astype(np.int32), count.astype(np.int32)]
+                kmers = pa.StructArray.from_arrays([pa.array(x) for x in fields], names=["m", "k", "q", "start", "n"])
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, b - a).cast(pa.int64()),
@@ -86,7 +87,7 @@ def _scan(source: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 def _pack(chosen: DataFrame, window: int) -> DataFrame:
-    """The words of each chosen super-k-mer as one string: m, k, part, parts, doc_id, packed."""
+    """The words of each chosen super-k-mer as one string: m, k, q, part, parts, doc_id, packed."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,20 +109,21 @@ def _pack(chosen: DataFrame, window: int) -> DataFrame:
                     [
                         rows.field("m"),
                         rows.field("k"),
+                        rows.field("q"),
                         rows.field("part"),
                         rows.field("parts"),
                         batch.column(0).take(pa.array(owner[mine])),
                         pa.array(packed, pa.binary()),
                     ],
-                    names=["m", "k", "part", "parts", "doc_id", "packed"],
+                    names=["m", "k", "q", "part", "parts", "doc_id", "packed"],
                 )
 
     return chosen.select("doc_id", "kmers", "text").mapInArrow(
-        pack, "m long, k long, part long, parts long, doc_id long, packed binary"
+        pack, "m long, k long, q long, part long, parts long, doc_id long, packed binary"
     )
 
 
-_OWNED = "m long, k long, owners array<bigint>, cut array<struct<i:int,f:bigint,g:bigint,o:bigint>>"
+_OWNED = "m long, k long, q long, owners array<bigint>, cut array<struct<i:int,f:bigint,g:bigint,o:bigint>>"
 
 
 def _sort_buckets(strings: DataFrame, window: int) -> DataFrame:
@@ -157,11 +159,11 @@ def _sort_buckets(strings: DataFrame, window: int) -> DataFrame:
         windows = pa.StructArray.from_arrays([pa.array(x) for x in fields], names=["i", "f", "g", "o"])
         return pa.RecordBatch.from_arrays(
             [
-                *[rows.column(c).combine_chunks() for c in ("m", "k")],
+                *[rows.column(c).combine_chunks() for c in ("m", "k", "q")],
                 pa.ListArray.from_arrays(bounds, pa.array(smallest)),
                 pa.ListArray.from_arrays(cut, windows),
             ],
-            names=["m", "k", "owners", "cut"],
+            names=["m", "k", "q", "owners", "cut"],
         )
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,10 +242,10 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -
 
     A word goes if a window of ``window`` words that covers it also starts in a document
     with a smaller doc_id; windows are judged on the input. Windows are compared by 128
-    bits of hash. Only super-k-mers whose minimiser occurs in several documents travel
-    on; those equal as a whole under their minimiser need no string, the others go to a
-    bucket as packed strings, once per distinct string. A minimiser with many distinct
-    strings is dealt over several buckets, whose windows are then merged by a grouping.
+    bits of hash. Super-k-mers whose minimiser occurs in several documents go to its
+    bucket as packed strings, once per distinct string (128 bits of hash), and the
+    bucket's windows are sorted there. A minimiser with many distinct strings is dealt
+    over several buckets, whose windows are then merged by a grouping.
 
     Texts shorter than a window, NULL and empty ones keep all words. Rows without doc_id
     neither lose words nor cause it. Rows that repeat a doc_id are judged one by one and
@@ -253,38 +255,34 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -
     scanned = stage(_scan(source, window, gram), "kmers")
     seen = scanned.where("doc_id is not null").select("doc_id", "row", F.explode("kmers").alias("x"))
     seen = seen.select("doc_id", "row", "x.*")
-    shared = seen.groupBy("m").agg(
-        F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), (F.min("k") == F.max("k")).alias("single")
-    )
-    shared = shared.where("lo < hi").select("m", "lo", "single")
-    hits = stage(seen.join(shared, "m"), "hits")
-    affected = hits.select("doc_id", "row").distinct()
-    texts = stage(source.join(affected, ["doc_id", "row"]).dropDuplicates(["doc_id", "row"]), "texts")
+    shared = seen.groupBy("m").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    hits = stage(seen.join(shared.where("lo < hi").select("m"), "m"), "hits")
 
-    several = hits.where("not single")
-    strings = several.groupBy("m", "k").agg(F.min(F.struct("doc_id", "row", "start", "n")).alias("x")).select("m", "k", "x.*")
+    key = ["m", "k", "q"]
+    strings = hits.groupBy(*key).agg(F.min(F.struct("doc_id", "row", "start", "n")).alias("x")).select(*key, "x.*")
     strings = stage(strings, "strings")
     sizes = strings.groupBy("m").agg(F.count("*").alias("c"))
     parts = F.greatest(F.lit(1), F.ceil(F.col("c") / STRINGS_PER_BUCKET)).cast("long")
     dealt = strings.join(sizes.select("m", parts.alias("parts")), "m")
     dealt = dealt.withColumn("part", F.pmod(F.col("k"), F.col("parts")))
-    listed = dealt.groupBy("doc_id", "row").agg(F.collect_list(F.struct("m", "k", "part", "parts", "start", "n")).alias("kmers"))
+    listed = dealt.groupBy("doc_id", "row").agg(F.collect_list(F.struct(*key, "part", "parts", "start", "n")).alias("kmers"))
+    texts = source.join(hits.select("doc_id", "row").distinct(), ["doc_id", "row"]).dropDuplicates(["doc_id", "row"])
+    texts = stage(texts, "texts")
     owned = stage(_sort_buckets(_pack(listed.join(texts, ["doc_id", "row"]), window), window), "owners")
     # Windows of a dealt minimiser may have a smaller owner in another of its buckets.
-    split = owned.select("m", "k", F.explode("cut").alias("x")).select("m", "k", "x.*")
+    split = owned.select(*key, F.explode("cut").alias("x")).select(*key, "x.*")
     merged = split.groupBy("f", "g").agg(F.min("o").alias("owner"), F.max("o").alias("most")).where("owner < most")
     fixed = split.join(merged, ["f", "g"]).where("owner < o")
-    fixed = fixed.groupBy("m", "k").agg(F.collect_list(F.struct("i", "owner")).alias("fixed"))
+    fixed = fixed.groupBy(*key).agg(F.collect_list(F.struct("i", "owner")).alias("fixed"))
 
-    later = hits.where("single and doc_id > lo")
-    every = F.when(F.col("n") == RUN, F.lit(-1)).otherwise(F.expr("shiftleft(1L, n) - 1")).cast("long")
-    bits = F.expr(
-        "aggregate(transform(owners, (o, i) -> if(o < doc_id, shiftleft(1L, i), 0L)), 0L, (a, x) -> a | x)"
-    )
-    fixes = F.expr("aggregate(fixed, 0L, (a, x) -> a | if(x.owner < doc_id, shiftleft(1L, x.i), 0L))")
-    some = several.join(owned.select("m", "k", "owners"), ["m", "k"]).select("doc_id", "row", "start", bits.alias("mask"))
-    more = several.join(fixed, ["m", "k"]).select("doc_id", "row", "start", fixes.alias("mask"))
-    spans = later.select("doc_id", "row", "start", every.alias("mask")).unionByName(some).unionByName(more).where("mask <> 0")
+    def mask(windows: str, number: str, owner: str) -> Column:
+        """A bit for each window that a smaller doc_id owns."""
+        return F.expr(f"aggregate({windows}, 0L, (a, x) -> a | if({owner} < doc_id, shiftleft(1L, {number}), 0L))")
+
+    owners = F.transform("owners", lambda o, i: F.struct(i.alias("i"), o.alias("owner"))).alias("owners")
+    some = hits.join(owned.select(*key, owners), key).select("doc_id", "row", "start", mask("owners", "x.i", "x.owner").alias("mask"))
+    more = hits.join(fixed, key).select("doc_id", "row", "start", mask("fixed", "x.i", "x.owner").alias("mask"))
+    spans = some.unionByName(more).where("mask <> 0")
     found = spans.groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "mask")).alias("spans"))
     return scanned, _cut(found.join(texts, ["doc_id", "row"]), window)
 
@@ -306,11 +304,14 @@ def remove_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     """``docs`` with all its columns; texts that lose words become their kept words joined by one space.
 
     Other texts stay as they are, NULL included. A column n_chars is brought up to date.
+    Further columns are carried along whatever their names; an empty table gives no rows.
     """
     _, changed = repeated_passages(docs, window, gram)
-    lost = changed.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), F.col("kept_text").alias("__kept"))
-    same = (F.col("doc_id").cast("long") == F.col("__id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__row"))
-    out = docs.join(lost, same, "left").withColumn("text", F.coalesce("__kept", "text"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__kept").isNotNull(), F.length("text")).otherwise(F.col("n_chars")))
-    return out.select(*[out[c].cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
+    lost = changed.select(F.col("doc_id").alias("id"), F.col("row").alias("hash"), F.col("kept_text").alias("kept")).alias("__lost")
+    held, kept = docs.alias("__docs"), F.col("__lost.kept")
+    own = {c: F.col(f"__docs.`{c}`") for c in docs.columns}
+    same = (own["doc_id"].cast("long") == F.col("__lost.id")) & (F.xxhash64(F.coalesce(own["text"], F.lit(""))) == F.col("__lost.hash"))
+    new = own | {"text": F.coalesce(kept, own["text"])}
+    if "n_chars" in own:
+        new["n_chars"] = F.when(kept.isNotNull(), F.length(kept)).otherwise(own["n_chars"])
+    return held.join(lost, same, "left").select(*[new[c].cast(docs.schema[c].dataType).alias(c) for c in docs.columns])

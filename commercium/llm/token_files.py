@@ -19,10 +19,12 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from commercium.llm.text import mix
 from commercium.llm.tokens import encoder
 from commercium.sources.staging import scratch_path, stage
 
@@ -33,6 +35,8 @@ _SKIPPABLE, _SEEK_FRAME, _SEEK_END = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 _CHECKSUMS = 0x80
 _FOOTER, _ENTRY, _HEAD = struct.Struct("<IBI"), struct.Struct("<III"), struct.Struct("<II")
 _INDEX = struct.Struct("<B")
+#: Stands for a NULL doc_id where rows are dealt to files.
+_NO_ID = -(2**63)
 
 
 def compressor() -> zstandard.ZstdCompressor:
@@ -116,14 +120,25 @@ class TokenFile:
 
 
 def encode_frames(docs: DataFrame, tokenizer: str, bounds: list[int], end_id: int = END_ID) -> DataFrame:
-    """file, doc_id, frame, size, checksum: each text's ids with the end id, compressed by itself."""
+    """file, doc_id, frame, size, checksum: each text's ids with the end id, compressed by itself.
+
+    A doc_id that is the edge of several files has its rows dealt over them by their place
+    in the task's input, so that no file grows with a repeated doc_id.
+    """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, pack, edges = encoder(tokenizer), compressor(), np.array(bounds, np.int64)
         end = np.array([end_id], model.type).tobytes()
+        seen = TaskContext.get().partitionId() << 40
         for batch in batches:
             keys = batch.column(0).cast(pa.int64())
-            file = np.searchsorted(edges, keys.fill_null(-(2**63)).to_numpy(zero_copy_only=False), "left")
+            own = keys.fill_null(_NO_ID).to_numpy(zero_copy_only=False)
+            file = np.searchsorted(edges, own, "left")
+            draw = mix(np.arange(seen + 1, seen + 1 + len(own), dtype=np.uint64)) >> np.uint64(32)
+            many = (np.searchsorted(edges, own, "right") - file + 1).astype(np.uint64)
+            # A doc_id that is one edge ends its file.
+            file = file + np.where(many > 2, (draw * many) >> np.uint64(32), np.uint64(0)).astype(np.int64)
+            seen += len(own)
             for first, ids, places in model.encode(batch.column(1)):
                 bodies = [ids[a:b].tobytes() + end for a, b in zip(places[:-1], places[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
@@ -152,7 +167,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     edges = []
     if files > 1:
         shares = [k / files for k in range(1, files)]
-        edges = docs.select(F.percentile_approx("doc_id", shares, max(10_000, 20 * files))).first()[0] or []
+        edges = docs.select(F.percentile_approx(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), shares, max(10_000, 20 * files))).first()[0] or []
     width = encoder(tokenizer).type.itemsize
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +196,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
     open_store(folder)[0].create_dir(open_store(folder)[1], recursive=True)
-    frames = encode_frames(docs, tokenizer, sorted(set(edges)), end_id)
+    frames = encode_frames(docs, tokenizer, sorted(edges), end_id)
     dealt = frames.repartition(files, "file").sortWithinPartitions("file", "doc_id", "size", "checksum")
     written = dealt.mapInArrow(write, "file int, path string, n_docs long, n_ids long")
     return stage(written, "token-files")

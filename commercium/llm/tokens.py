@@ -7,6 +7,7 @@ by the library, and a text's ids are its words' ids in a row.
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -14,9 +15,10 @@ import pyarrow as pa
 from commercium.llm.text import Words, chunks, mix, text_bytes
 
 CHUNK_BYTES = 1 << 20
-CACHE_WORDS = 2_000_000
+#: Bytes of all arrays of known words, beyond which a worker starts anew.
+CACHE_BYTES = 1 << 26
 _ODD = -1
-_loaded: dict[str, "Encoder"] = {}
+_loaded: dict[tuple[str, bool, bool], "Encoder"] = {}
 
 
 class Encoder:
@@ -25,26 +27,44 @@ class Encoder:
     Words are known by 128 bits of hash. Where the tokenizer keeps white space
     (byte-level), a word is taken with the one space or newline before it; texts with
     other gaps between words go to the library whole. Where it drops white space,
-    every word stands alone.
+    every word stands alone. Texts that hold the literal of an added token go to the
+    library whole; with ``plain`` literals are ordinary text. With ``front`` every text is
+    taken with a space before it.
     """
 
-    def __init__(self, path: str):
+    #: Finds literals of added tokens in texts, if a text can hold any.
+    literals: re.Pattern[bytes] | None = None
+
+    front = False
+
+    def __init__(self, path: str, plain: bool = False, front: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain
+        self.front = front
+        added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if added and not plain:
+            self.literals = re.compile(b"|".join(re.escape(t) for t in sorted(added)))
         self.keep_spaces = self.whole("a b") != self.whole("a  b")
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self._empty()
 
+    #: Arrays with an item for each known word, in the order they were learned, and of their parts in a row.
+    _words, _parts = ("checks", "first", "count"), ("pool",)
+
     def _empty(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
+        self.keys = np.zeros(0, np.uint64)  # sorted
+        self.slot = np.zeros(0, np.int64)  # which word has each of them
         self.checks = np.zeros(0, np.uint64)
         self.first = np.zeros(0, np.int64)
         self.count = np.zeros(0, np.int64)
         self.pool = np.zeros(0, self.type)
 
+    def _cached_bytes(self) -> int:
+        return sum(getattr(self, name).nbytes for name in ("keys", "slot", *self._words, *self._parts))
+
     #: What stands before a word of each form.
     leads = ("", " ", "\n")
 
@@ -52,30 +72,36 @@ class Encoder:
         return self.whole(text)
 
     def whole(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+        return self.tokenizer.encode(" " * self.front + text, add_special_tokens=False).ids
 
-    def _ids_of(self, words: list[str], marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all ``words`` in a row, and where each word's begin."""
         made = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
         owner = np.array(made.word_ids, np.int64)
         return np.array(made.ids, self.type), np.searchsorted(owner, np.arange(len(words) + 1))
 
-    def _marks(self, words: Words, texts: np.ndarray | None) -> np.ndarray:
-        """A number for each word that tells apart ways to tokenize it."""
-        return np.zeros(len(words.start), np.uint64)
-
-    def _learn(self, keys: np.ndarray, checks: np.ndarray, words: list[str], marks: np.ndarray) -> None:
-        ids, places = self._ids_of(words, marks)
+    def _learned(self, words: list[str]) -> dict[str, np.ndarray]:
+        """What is to be appended to the arrays of words and parts, but for the checks."""
+        ids, places = self._ids_of(words)
         count = np.diff(places)
-        if self.keep_spaces:  # a word that begins with further white space belongs to a longer gap
-            odd = [k for k, w in enumerate(words) if w[w[0] in " \n" :][:1].isspace()]
-            count[odd] = _ODD
+        if self.keep_spaces:
+            count[self._odd(words)] = _ODD
+        return {"first": places[:-1] + len(self.pool), "count": count, "pool": ids}
+
+    @staticmethod
+    def _odd(words: list[str]) -> list[int]:
+        """Words that begin with further white space and belong to a longer gap."""
+        return [k for k, w in enumerate(words) if w[w[0] in " \n" :][:1].isspace()]
+
+    def _learn(self, keys: np.ndarray, checks: np.ndarray, words: list[str]) -> None:
+        new = {"checks": checks, **self._learned(words)}
+        slots = len(self.slot) + np.arange(len(keys))
+        for name, more in new.items():
+            old = getattr(self, name)
+            setattr(self, name, np.concatenate([old, more.astype(old.dtype)]))
         order = np.argsort(np.concatenate([self.keys, keys]), kind="stable")
-        self.first = np.concatenate([self.first, places[:-1] + len(self.pool)])[order]
-        self.count = np.concatenate([self.count, count])[order]
-        self.checks = np.concatenate([self.checks, checks])[order]
         self.keys = np.concatenate([self.keys, keys])[order]
-        self.pool = np.concatenate([self.pool, ids])
+        self.slot = np.concatenate([self.slot, slots])[order]
 
     def _form(self, data: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """For each word 0 (nothing before it), 1 (a space) or 2 (a newline); which texts have other gaps."""
@@ -83,7 +109,7 @@ class Encoder:
         begins[words.bounds[:-1][words.count > 0]] = True
         gap = np.where(begins, 0, words.start - np.roll(words.end, 1))
         before = data[np.maximum(words.start - 1, 0)]
-        form = np.where(begins, 0, np.where(before == 32, 1, 2)).astype(np.uint64)
+        form = np.where(begins, int(self.front), np.where(before == 32, 1, 2)).astype(np.uint64)
         bad = (gap > 1) | (~begins & (before != 32) & (before != 10))
         return form, bad
 
@@ -101,14 +127,16 @@ class Encoder:
             edge[some] = (words.start[words.bounds[:-1][some]] != places[:-1][some]) | (
                 words.end[words.bounds[1:][some] - 1] != places[1:][some]
             )
-            whole |= edge | (~some & (np.diff(places) > 0))
-        marks = self._marks(words, keys)
-        key = mix(mix(words.hash + form) + marks)
-        check = mix(mix(words.second() ^ form) ^ marks)
+            whole |= edge | (~some & ((np.diff(places) > 0) | self.front))
+        if self.literals is not None:
+            hits = [m.start() for m in self.literals.finditer(data.tobytes())]
+            whole[np.searchsorted(places, hits, "right") - 1] = True
+        key = mix(words.hash + form)
+        check = mix(words.second() ^ form)
         _, sample, inverse = np.unique(key, return_index=True, return_inverse=True)
         if len(key) and (check[sample][inverse] != check).any():
             raise ValueError("two words share a hash")
-        if len(self.keys) + len(sample) > CACHE_WORDS:
+        if self._cached_bytes() > CACHE_BYTES:
             self._empty()
         at = np.searchsorted(self.keys, key[sample])
         known = np.zeros(len(sample), bool)
@@ -120,16 +148,18 @@ class Encoder:
             lead = self.leads
             spans = zip(form[new].tolist(), words.start[new].tolist(), words.end[new].tolist(), strict=True)
             texts_of = [lead[f] + raw[a:b].decode("utf-8", "replace") for f, a, b in spans]
-            self._learn(key[new], check[new], texts_of, marks[new])
+            self._learn(key[new], check[new], texts_of)
             at = np.searchsorted(self.keys, key[sample])
-        if (self.checks[at] != check[sample]).any():
+        own = self.slot[at]
+        if (self.checks[own] != check[sample]).any():
             raise ValueError("two words share a hash")
-        entry = at[inverse]
+        entry = own[inverse]
         count = self.count[entry]
         if self.keep_spaces:
             whole[owner[count == _ODD]] = True
-            count = np.where(whole[owner], 0, count)
-        ids, count = self._spell(entry, count, words, keys)
+        if whole.any():
+            count = np.where(whole[words.text_of()], 0, count)
+        ids, count = self._spell(entry, count, words, form, keys)
         bounds = np.concatenate([[0], np.cumsum(count)])[words.bounds]
         if whole.any():
             parts, sizes = [], np.diff(bounds)
@@ -145,7 +175,7 @@ class Encoder:
         return ids, bounds
 
     def _spell(
-        self, entry: np.ndarray, count: np.ndarray, words: Words, texts: np.ndarray | None
+        self, entry: np.ndarray, count: np.ndarray, words: Words, form: np.ndarray, texts: np.ndarray | None
     ) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in a row, and how many each has; words of ``count`` 0 have none."""
         shift = np.repeat(self.first[entry] - (np.cumsum(count) - count), count)
@@ -162,8 +192,9 @@ class Encoder:
             yield a, *self._chunk(data[places[a] : places[b]], places[a : b + 1] - places[a], own)
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, plain: bool = False, front: bool = False) -> Encoder:
     """The encoder of a file, kept for the life of a worker."""
-    if path not in _loaded:
-        _loaded[path] = Encoder(path)
-    return _loaded[path]
+    key = (path, plain, front)
+    if key not in _loaded:
+        _loaded[key] = Encoder(*key)
+    return _loaded[key]

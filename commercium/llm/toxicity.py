@@ -24,6 +24,8 @@ _PARTS = (0, 1, 2, 0, 0, 1, 0, 1, 0, 2, 0, 1, 0, 1, 0, 2, 0, 1, 0, 1)
 LEXICON_TERMS = 4_000
 _MIN_TEXTS, _MIN_ODDS = 4, 2.0
 TREES, DEPTH, BINS, RATE = 80, 4, 32, 0.15
+#: Pseudo rows of a calibrated block, and of the class rate they hold.
+_BLOCK_ROWS, _RATE_ROWS = 2.0, 10.0
 _NEAR = 5  # words between a lexicon word and a word of address
 
 # Words that address a reader, in the languages served.
@@ -227,7 +229,12 @@ def boost(x: np.ndarray, y: np.ndarray, weight: np.ndarray, trees: int = TREES)
 
 
 def isotonic(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Points (margin, probability) of the best non-decreasing fit, by pooling neighbours."""
+    """Points (margin, probability) of the best non-decreasing fit, by pooling neighbours.
+
+    Each block is shrunk by pseudo rows of the class rate, itself held down by pseudo rows
+    without the class, so that a handful of labels gives no probability of one half.
+    """
+    rate = float((weight * y).sum()) / (float(weight.sum()) + _RATE_ROWS)
     order = np.argsort(margin, kind="stable")
     blocks: list[tuple[float, float, float]] = []  # toxic rows, rows, sum of margins
     for at, hit, own in zip(margin[order].tolist(), y[order].tolist(), weight[order].tolist(), strict=True):
@@ -235,9 +242,9 @@ def isotonic(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             last = blocks.pop()
             blocks[-1] = tuple(u + v for u, v in zip(blocks[-1], last, strict=True))
-    # Interpolated between the blocks' mean margins; a pseudo row of weight 1 keeps 0 and 1 off the ends.
+    # Interpolated between the blocks' mean margins.
     points = np.array([b[2] / b[1] for b in blocks])
-    return points, np.maximum.accumulate([(b[0] + 0.5) / (b[1] + 1) for b in blocks])
+    return points, np.maximum.accumulate([(b[0] + _BLOCK_ROWS * rate) / (b[1] + _BLOCK_ROWS) for b in blocks])
 
 
 @dataclass
@@ -272,7 +279,7 @@ def _feature_rows(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Model | None:
-    """A model from at most ``train_rows`` labelled rows; None if no text of one class is labelled.
+    """A model from at most ``train_rows`` labelled rows; None if no text with a word of one class is labelled.
 
     Of several labels of one doc_id the largest counts. Of each class the rows of the
     smallest hash are taken, at most half of ``train_rows``; trees and calibration weigh
@@ -282,8 +289,9 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
     one of them has a class without texts.
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    # Only labels of documents at hand count for the bound.
-    known = stage(known.join(docs.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_semi"), "known_labels")
+    # Only labels of documents at hand that have a word count for the bound.
+    worded = docs.where(F.col("doc_id").isNotNull() & F.col("text").rlike(r"[A-Za-z\x{80}-\x{10FFFF}]"))
+    known = stage(known.join(worded.select("doc_id").distinct(), "doc_id", "left_semi"), "known_labels")
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     if not sizes.get(0) or not sizes.get(1):
         return None
@@ -356,7 +364,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """``docs`` with all its columns, without the rows predicted toxic."""
+    """``docs`` with all its columns, without the rows predicted toxic.
+
+    Learns as ``toxicity`` does; without labels of both kinds every row stays. NULL, empty
+    and blank texts are scored from zero features, a NULL doc_id is scored like any other,
+    repeated rows go or stay together. Further columns are carried along whatever their
+    names; an empty table gives no rows.
+    """
     model = train(docs, labels.where(fold(F.col("doc_id"), 5) != 0), train_rows)
     if model is None:
         return docs
