@@ -17,12 +17,13 @@ from commercium.sources.staging import stage
 
 CAPACITY = 4096
 END_ID = 1
-#: The share of a length's demand that one round covers at most, how fast weights fall
-#: with the share covered, the power of a length that they begin with, and how far below
-#: the best value a pattern may be.
-STEP, RATE, POWER, SLACK = 0.25, 4.0, 1.1, 0.02
-#: How far above its bound a cover may be without another pass, and how many passes there are.
-GAP, PASSES = 0.005, 2
+#: The share of a length's demand that one round of the first pass covers at most, how fast
+#: weights fall with the share covered, the power of a length that they begin with, and how
+#: far below the best value a pattern may be.
+STEP, RATE, POWER, SLACK = 1.0, 4.0, 1.1, 0.05
+#: The share of all tokens that prices leave to the rounding, how far above its bound a
+#: cover may be without another pass, and how many passes there are.
+LEFT, GAP, PASSES = 0.002, 0.005, 3
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -112,17 +113,48 @@ class _Knapsack:
         return out
 
 
-def fractional(demand: np.ndarray, capacity: int = CAPACITY) -> tuple[dict[tuple[tuple[int, int], ...], float], float]:
-    """Patterns with fractional uses that cover ``demand``, and a lower bound on the uses of any cover.
+Cover = dict[tuple[tuple[int, int], ...], float]
+
+
+def _priced_cover(demand: np.ndarray, lengths: np.ndarray, step: float, capacity: int) -> tuple[Cover, float]:
+    """One pass of multiplicative weights: patterns with fractional uses, and the best dual value met."""
+    wanted, covered = demand[lengths].astype(float), np.zeros(len(lengths))
+    found: Cover = {}
+    dual, before = 0.0, -1.0
+    while (left := float(((1 - covered) * wanted) @ lengths)) > LEFT * float(wanted @ lengths) and left != before:
+        before = left
+        open_ = np.flatnonzero(covered < 1 - 1e-9)
+        weight = (lengths[open_] / capacity) ** POWER * np.exp(-RATE * covered[open_])
+        priced = _Knapsack(lengths[open_], demand[lengths[open_]], weight, capacity)
+        dual = max(dual, float(weight @ wanted[open_]) / priced.value)
+        room = np.minimum(step, 1 - covered[open_]) * wanted[open_]
+        for k in range(len(open_) - 1, -1, -1):
+            if room[k] <= 1e-9 * wanted[open_[k]]:
+                continue
+            pattern = priced.with_longest(k, capacity)
+            uses = min(room[m] / copies for m, copies in pattern.items())
+            if uses <= 0 or sum(weight[m] * copies for m, copies in pattern.items()) < (1 - SLACK) * priced.value:
+                continue
+            for m, copies in pattern.items():
+                room[m] -= uses * copies
+                covered[open_[m]] += uses * copies / wanted[open_[m]]
+            key = tuple(sorted((int(lengths[open_[m]]), copies) for m, copies in pattern.items()))
+            found[key] = found.get(key, 0.0) + uses
+    return found, dual
+
+
+def fractional(demand: np.ndarray, capacity: int = CAPACITY) -> tuple[Cover, float]:
+    """Patterns with fractional uses that cover nearly all of ``demand``, and a lower bound on the uses of any cover.
 
     Multiplicative weights: a length's weight starts near its share of a sequence and
     falls exponentially with the share of its pieces covered. Each round prices all open
     lengths by one knapsack table and reads off, for each length, the best pattern that
-    it is the longest of; a round covers at most STEP of any length's demand. Weights
+    it is the longest of; a round covers at most a step of any length's demand. Weights
     over the value of the best pattern are a point of the dual program, whose value
     bounds every cover from below. Patterns SLACK below the best wait for other weights.
-    The cover begins as the best-fit one; as long as it is not within GAP of the bound,
-    passes follow with half the step each, at most PASSES. The better cover is returned.
+    A pass ends when at most LEFT of all tokens is open; what is open then belongs to the
+    rounding. While the cover is not within GAP of the bound, passes of half the step
+    follow, at most PASSES in all. The best cover is returned.
     """
     lengths = np.flatnonzero(demand)
     if not len(lengths):
@@ -130,39 +162,23 @@ def fractional(demand: np.ndarray, capacity: int = CAPACITY) -> tuple[dict[tuple
     wanted = demand[lengths].astype(float)
     # No two pieces beyond half a sequence share one.
     bound = max(float(wanted @ lengths) / capacity, float(wanted[2 * lengths > capacity].sum()))
-    best: dict[tuple[tuple[int, int], ...], float] = {}
-    for pattern, times in _best_fit(demand, capacity):
-        best[tuple(pattern)] = best.get(tuple(pattern), 0.0) + times
-    least = sum(best.values())
+    best, least = {}, np.inf
     for number in range(PASSES):
+        found, dual = _priced_cover(demand, lengths, STEP / 2**number, capacity)
+        bound = max(bound, dual)
+        if (uses := _uses(found, demand, capacity)) < least:
+            best, least = found, uses
         if least <= (1 + GAP) * bound + 1:
             break
-        step = STEP / 2**number
-        covered = np.zeros(len(lengths))
-        found: dict[tuple[tuple[int, int], ...], float] = {}
-        while (covered < 1 - 1e-9).any() and sum(found.values()) < least:
-            open_ = np.flatnonzero(covered < 1 - 1e-9)
-            weight = (lengths[open_] / capacity) ** POWER * np.exp(-RATE * covered[open_])
-            priced = _Knapsack(lengths[open_], demand[lengths[open_]], weight, capacity)
-            bound = max(bound, float(weight @ wanted[open_]) / priced.value)
-            room = np.minimum(step, 1 - covered[open_]) * wanted[open_]
-            for k in range(len(open_) - 1, -1, -1):
-                if room[k] <= 1e-9 * wanted[open_[k]]:
-                    continue
-                pattern = priced.with_longest(k, capacity)
-                uses = min(room[m] / copies for m, copies in pattern.items())
-                if uses <= 0 or sum(weight[m] * copies for m, copies in pattern.items()) < (1 - SLACK) * priced.value:
-                    continue
-                for m, copies in pattern.items():
-                    room[m] -= uses * copies
-                    covered[open_[m]] += uses * copies / wanted[open_[m]]
-                key = tuple(sorted((int(lengths[open_[m]]), copies) for m, copies in pattern.items()))
-                found[key] = found.get(key, 0.0) + uses
-        if (covered >= 1 - 1e-9).all() and sum(found.values()) < least:
-            best, least = found, sum(found.values())
     return best, bound
 
 
+def _uses(cover: Cover, demand: np.ndarray, capacity: int) -> float:
+    """Sequences of a cover, with those that its open tokens would fill."""
+    tokens = sum(uses * length * copies for pattern, uses in cover.items() for length, copies in pattern)
+    return sum(cover.values()) + max(float(demand @ np.arange(len(demand))) - tokens, 0.0) / capacity
+
+
 def _best_fit(left: np.ndarray, capacity: int) -> list[tuple[list[tuple[int, int]], int]]:
     """Patterns of all pieces of ``left``: longest first, each into the fullest sequences with room.
 
@@ -201,17 +217,15 @@ def _best_fit(left: np.ndarray, capacity: int) -> list[tuple[list[tuple[int, int
     return [(sorted(held), times) for place in groups for held, times in place]
 
 
-def solve(demand: np.ndarray, capacity: int = CAPACITY) -> list[tuple[list[tuple[int, int]], int]]:
-    """Patterns ([(length, copies), ...], times) that place ``demand[length]`` pieces of every length.
+def rounded(demand: np.ndarray, cover: Cover, capacity: int = CAPACITY) -> tuple[list, list]:
+    """Whole uses of the patterns of a cover, and the patterns that hold the pieces they leave.
 
-    The fractional cover of the configuration program is rounded: whole uses of each
-    pattern first, then one more of those with the largest remainder while all their
-    pieces are left; what is then left is filled best fit, longest first. The pieces
-    left depend on the number of patterns, not on the number of pieces.
+    Whole uses of each pattern first, then one more of those with the largest remainder
+    while all their pieces are left; what is then left is filled best fit, longest first.
+    The pieces left depend on the number of patterns, not on the number of pieces.
     """
     left = demand.astype(np.int64)
     patterns = []
-    cover, _ = fractional(left, capacity)
     by_rest = sorted(cover.items(), key=lambda e: (-(e[1] % 1), e[0]))
     for whole in (True, False):
         for pattern, uses in by_rest:
@@ -220,8 +234,16 @@ def solve(demand: np.ndarray, capacity: int = CAPACITY) -> list[tuple[list[tuple
                 patterns.append((list(pattern), times))
                 for length, copies in pattern:
                     left[length] -= copies * times
-    patterns += _best_fit(left, capacity)
-    return min(patterns, _best_fit(demand, capacity), key=lambda made: sum(times for _, times in made))
+    return patterns, _best_fit(left, capacity)
+
+
+def solve(demand: np.ndarray, capacity: int = CAPACITY) -> list[tuple[list[tuple[int, int]], int]]:
+    """Patterns ([(length, copies), ...], times) that place ``demand[length]`` pieces of every length.
+
+    The fractional cover of the configuration program, rounded.
+    """
+    placed, rest = rounded(demand.astype(np.int64), fractional(demand, capacity)[0], capacity)
+    return placed + rest
 
 
 def _entries(patterns: list[tuple[list[tuple[int, int]], int]]) -> np.ndarray:

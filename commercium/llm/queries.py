@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from commercium.llm import (
+    alignment,
     exact,
+    infill,
     language,
     near,
     packing,
@@ -14,6 +16,7 @@ from commercium.llm import (
     quality,
     sharding,
     substrings,
+    syncmers,
     token_files,
     toxicity,
 )
@@ -63,6 +66,19 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.round_trip(read(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    return infill.infill_digests(read(spark, folder, "documents"))
+
+
+def op12_cross_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    byte, piece = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.cross_alignment(read(spark, folder, "documents"), byte, piece)
+
+
+def op13_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return syncmers.text_fingerprints(read(spark, folder, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -76,6 +92,9 @@ QUERIES = {
         op8_best_fit_packing,
         op9_merge_dropout,
         op10_token_files,
+        op11_fill_in_middle,
+        op12_cross_alignment,
+        op13_fingerprints,
     )
 }
 

@@ -201,3 +201,23 @@ def test_a_rare_language_is_sampled(table):
     assert language.share_of_rows({"a": 5, "b": 700}, 40) == 35
     out = language.language_id(docs, 40)
     assert {r.lang_pred for r in out.collect() if r.doc_id and r.doc_id >= 1000} == {"pl"}
+
+
+def test_sequences_come_from_priced_patterns(root):
+    import pyarrow.parquet as pq
+
+    from commercium.llm.tokens import encoder
+
+    texts = pq.read_table(f"{root.replace('0.001', '0.01')}/documents.parquet")["text"].combine_chunks()
+    demand = np.zeros(packing.CAPACITY + 1, np.int64)
+    for _, _, bounds in encoder(WORD_BPE).encode(texts):
+        for n in (np.diff(bounds) + 1).tolist():
+            demand[packing.CAPACITY] += n // packing.CAPACITY
+            demand[n % packing.CAPACITY] += 1
+    demand[0] = 0
+    cover, bound = packing.fractional(demand)
+    placed, rest = packing.rounded(demand, cover)
+    priced, filled = sum(t for _, t in placed), sum(t for _, t in rest)
+    assert {tuple(p) for p, _ in placed} <= set(cover)
+    assert priced > 3 * filled
+    assert priced + filled <= 1.005 * bound + 1
