@@ -231,3 +231,29 @@ def previous_in_order(
         .where(F.col("_at") > 0)
         .drop("_at", _SLICE)
     )
+
+
+def order_breaks(df: DataFrame, order: Sequence[tuple[str, bool, bool]]) -> int:
+    """Rows of ``df`` that come before the row in front of them in ``order``; 0 says that it is sorted.
+
+    ``order`` lists (column, ascending, NULLs first). The rows are written as they come, so
+    that the order checked is that of a file or an export. Neighbours are compared inside
+    each slice, and across the borders of slices by their first and last rows, so no task
+    sees more than a slice.
+    """
+    keys = [c for c, _, _ in order]
+    placed = df.select(*keys).withColumns({_SLICE: F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
+    placed = stage(placed, "order")
+    row = F.struct(*keys)
+    inside = Window.partitionBy(_SLICE).orderBy("_at")
+    neighbours = placed.select(row.alias("b"), F.lag(row).over(inside).alias("a")).where("a is not null")
+    borders = placed.groupBy(_SLICE).agg(F.min_by(row, "_at").alias("b"), F.max_by(row, "_at").alias("last"))
+    borders = borders.select("b", F.lag("last").over(Window.orderBy(_SLICE)).alias("a")).where("a is not null")
+    worse = F.lit(False)
+    for c, ascending, nulls_first in reversed(list(order)):
+        a, b = F.col(f"a.{c}"), F.col(f"b.{c}")
+        wrong = (a > b) if ascending else (a < b)
+        misplaced = (b.isNull() & a.isNotNull()) if nulls_first else (a.isNull() & b.isNotNull())
+        worse = F.when(a.eqNullSafe(b), worse).otherwise(misplaced | F.coalesce(wrong, F.lit(False)))
+    both = neighbours.select("a", "b").unionByName(borders.select("a", "b"))
+    return both.where(worse).count()

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from commercium.functions import count_if
+from commercium.operators.absorption import absorbed_ols
 from commercium.operators.ordered import previous_in_order
 from commercium.operators.regression import (
     Fit,
@@ -175,6 +176,14 @@ def specification_result(data: DataFrame, name: str) -> DataFrame:
     return robustness_results(data, [s for s in SPECIFICATIONS if s.name == name])
 
 
+def absorbed_result(data: DataFrame, name: str, effects: Sequence[str]) -> DataFrame:
+    """Price elasticity with the levels of several effects absorbed, none of them as dummies.
+
+    For effects of any number of levels; equals the specification with their dummies.
+    """
+    return _results(data.sparkSession, [result_row(name, absorbed_ols(data, VOLUME, [PRICE], effects, "sku"))])
+
+
 # Model A has price with SKU, quarter and commercial effects; model B trades the
 # quarter for the cost index.
 HEADLINE_MODELS = {MODEL_A: Model((PRICE,), TIMED), MODEL_B: Model((PRICE, COST), COMMERCIAL)}
@@ -325,6 +334,18 @@ def elasticity_selection(
     )
 
 
+def preferred_result(
+    data: DataFrame, preferred: Sequence[str] = PREFERRED_MODELS, median_fallback: bool = True
+) -> DataFrame:
+    """``elasticity_selection`` with no more fits than it needs: of the first preferred name found, else of all."""
+    usable = [s for s in SPECIFICATIONS if set(s.needs) <= set(data.columns)]
+    for keyword in preferred:
+        found = [s for s in usable if keyword.lower() in s.name.lower()]
+        if found:
+            return elasticity_selection(robustness_results(data, found), [keyword], median_fallback)
+    return elasticity_selection(robustness_results(data, usable), preferred, median_fallback)
+
+
 def robustness_summary(results: DataFrame) -> DataFrame:
     """Spread and sign of the elasticity over the specifications."""
     e = F.col("elasticity")

@@ -191,7 +191,8 @@ def backlog_analysis(scored: DataFrame) -> DataFrame:
     rows = scored.select(*_BACKLOG_COLUMNS)
     rest = [c for c in _BACKLOG_COLUMNS if c not in ("region", "backlog_days")]
     order = [F.col("backlog_days").desc_nulls_first(), *[F.col(c).asc() for c in rest]]
-    return number_copies(rows, order, "backlog_rank", ["region"])
+    ranked = number_copies(rows, order, "backlog_rank", ["region"])
+    return ranked.orderBy(F.desc_nulls_first("backlog_days"), F.asc_nulls_last("region"), "backlog_rank")
 
 
 def lifecycle_analysis(scored: DataFrame) -> DataFrame:
@@ -284,4 +285,4 @@ def initiative_ranking(scored: DataFrame) -> DataFrame:
         "initiative-averages",
     )
     order = [F.col("avg_aos").desc(), *[F.col(k).asc() for k in keys]]
-    return number_rows(averages, order, "rank")
+    return number_rows(averages, order, "rank").orderBy("rank")

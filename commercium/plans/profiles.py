@@ -23,24 +23,31 @@ def null_profile(df: DataFrame) -> DataFrame:
     )
 
 
+_COUNTED = ("sku", "region", "channel", "customer_tier", "quarter")
+
+
 def fact_profile(orders: DataFrame) -> DataFrame:
     """Rows, date and index range and distinct counts of a fact joined to its index.
 
-    The fact is grouped by the counted keys first; only the groups are counted apart.
+    Each row becomes one narrow (number of the key, value) pair for every counted key; the
+    pairs are grouped once, which leaves one row a distinct value, and the groups are
+    counted. The first key's groups also hold the rows and the ranges.
     """
-    groups = orders.groupBy("sku", "region", "channel", "customer_tier", "quarter").agg(
-        F.count(F.lit(1)).alias("rows"),
-        *[f(c).alias(f"{f.__name__}_{c}") for c in ("order_date", "ppi_index") for f in (F.min, F.max)],
+    ranged = ("order_date", "ppi_index")
+    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.col(c).cast("string").alias("value")) for k, c in enumerate(_COUNTED)]))
+    groups = (
+        orders.select(*ranged, pairs.alias("pair"))
+        .groupBy("pair.key", "pair.value")
+        .agg(F.count(F.lit(1)).alias("rows"), *[f(c).alias(f"{f.__name__}_{c}") for c in ranged for f in (F.min, F.max)])
     )
     return groups.agg(
-        F.coalesce(F.sum("rows"), F.lit(0)).alias("observations"),
+        F.coalesce(F.sum(F.when(F.col("key") == 0, F.col("rows"))), F.lit(0)).alias("observations"),
         F.min("min_order_date").alias("first_order"),
         F.max("max_order_date").alias("last_order"),
         F.min("min_ppi_index").alias("index_min"),
         F.max("max_ppi_index").alias("index_max"),
-        F.countDistinct("sku").alias("skus"),
-        F.countDistinct("region").alias("regions"),
-        F.countDistinct("channel").alias("channels"),
-        F.countDistinct("customer_tier").alias("customer_tiers"),
-        F.countDistinct("quarter").alias("quarters"),
+        *[
+            count_if((F.col("key") == k) & F.col("value").isNotNull()).alias(f"{c}s")
+            for k, c in enumerate(_COUNTED)
+        ],
     )

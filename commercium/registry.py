@@ -23,6 +23,7 @@ QUERIES: dict[str, Query] = {}
 
 _NUMERIC = ["list_price", "net_price", "discount_pct", "quantity", "revenue"]
 _ROBUST = ["order_date", "sku", "region", "channel", "customer_tier", "list_price", "net_price", "quantity"]
+_POOLED = ["order_date", "sku", "net_price", "quantity"]
 _SCENARIO = ["order_date", "sku", "list_price", "net_price", "quantity"]
 _SOLD = ["quantity", "net_price"]
 _HEADLINE = ["order_id", "order_date", "business_unit", "sku", "region", "channel", "customer_tier", "net_price", "quantity"]
@@ -500,8 +501,9 @@ def top_segment_uplift(spark, root):
 
 @query
 def elasticity_pooled(spark, root):
-    result = elasticity.specification_result(_quarterly_sample(spark, root), "1. Baseline pooled OLS")
-    return rounded(result, 6)
+    # Neither the commercial columns nor their joins are needed.
+    sample = elasticity.prepared_quarterly(_orders(spark, root, *_POOLED), _index(spark, root))
+    return rounded(elasticity.specification_result(sample, "1. Baseline pooled OLS"), 6)
 
 
 @query
@@ -510,6 +512,12 @@ def elasticity_sku_fe(spark, root):
     return rounded(result, 6)
 
 
+@query
+def elasticity_two_effects(spark, root):
+    sample = elasticity.prepared_quarterly(_orders(spark, root, *_POOLED), _index(spark, root))
+    return rounded(elasticity.absorbed_result(sample, "3. SKU + quarter fixed effects", ["sku", "quarter"]), 6)
+
+
 @query
 def robustness_results(spark, root):
     return rounded(elasticity.robustness_results(_quarterly_sample(spark, root)), 6)
@@ -523,14 +531,12 @@ def robustness_summary(spark, root):
 
 @query
 def elasticity_selection(spark, root):
-    results = elasticity.robustness_results(_quarterly_sample(spark, root))
-    return rounded(elasticity.elasticity_selection(results), 6)
+    return rounded(elasticity.preferred_result(_quarterly_sample(spark, root)), 6)
 
 
 @query
 def overall_scenarios_selected(spark, root):
-    results = elasticity.robustness_results(_quarterly_sample(spark, root))
-    selected = elasticity.elasticity_selection(results)
+    selected = elasticity.preferred_result(_quarterly_sample(spark, root))
     return rounded(scenarios.overall_scenarios(_revenue_orders(spark, root, "sku"), selected), 2, quantity_change_pct=6, revenue_change_pct=6)
 
 
@@ -699,4 +705,5 @@ def mart_results(spark: SparkSession, root: str) -> dict[str, DataFrame]:
 
 @query
 def mart_manifest(spark, root):
-    return mart.publish_mart(spark, mart_results(spark, root), scratch_path(spark, "mart"))
+    published = mart.publish_mart(spark, mart_results(spark, root), scratch_path(spark, "mart"))
+    return published.select("pillar", "area", "name", "rows", "status")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from commercium.functions import count_if, ratio
@@ -12,23 +12,44 @@ from commercium.functions import count_if, ratio
 UNKNOWN = "Unknown"
 
 
-#: Ways to write a date besides ISO, tried in this order: an ambiguous one is month first.
-DATE_FORMATS = ("M/d/yyyy", "d/M/yyyy", "yyyy/M/d", "d-M-yyyy", "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "yyyyMMdd")
+#: Ways to write a date besides ISO that can be read in one way only.
+DATE_FORMATS = ("yyyy/M/d", "d-M-yyyy", "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "yyyyMMdd")
+MONTH_FIRST, DAY_FIRST = "M/d/yyyy", "d/M/yyyy"
 
 
-def _coerced(df: DataFrame, column: str, wanted: str):
-    plain = F.col(column).try_cast(wanted)
-    if wanted not in ("date", "timestamp") or df.schema[column].dataType.simpleString() != "string":
-        return plain
-    text = F.trim(column)
-    others = [F.try_to_timestamp(text, F.lit(f)).cast(wanted) for f in DATE_FORMATS]
-    return F.coalesce(text.try_cast(wanted), *others)
+def _date_text(df: DataFrame, column: str, wanted: str) -> bool:
+    return wanted in ("date", "timestamp") and df.schema[column].dataType.simpleString() == "string"
+
+
+def _reads(column: str, written: str) -> Column:
+    return F.try_to_timestamp(F.trim(column), F.lit(written))
+
+
+def month_first(df: DataFrame, column: str) -> Column:
+    """Whether the dates with slashes of a whole text column are read month first, as one value from one pass.
+
+    The reading under which more of them are dates holds for all of them, so that one
+    cell such as 13/04/2024 beside 03/04/2024 decides for both; month first if both
+    readings do equally well.
+    """
+    votes = df.agg((count_if(_reads(column, MONTH_FIRST).isNotNull()) >= count_if(_reads(column, DAY_FIRST).isNotNull())).alias("vote"))
+    return votes.scalar()
+
+
+def _coerced(df: DataFrame, column: str, wanted: str) -> Column:
+    if not _date_text(df, column, wanted):
+        return F.col(column).try_cast(wanted)
+    slashes = F.when(month_first(df, column), _reads(column, MONTH_FIRST)).otherwise(_reads(column, DAY_FIRST))
+    others = [x.cast(wanted) for x in (slashes, *[_reads(column, f) for f in DATE_FORMATS])]
+    return F.coalesce(F.trim(column).try_cast(wanted), *others)
 
 
 def coerce_types(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
     """Cast the named columns; text that does not parse becomes NULL.
 
-    Dates may be written in ISO or one of ``DATE_FORMATS``, each row for itself.
+    Dates may be written in ISO or one of ``DATE_FORMATS``. Those with slashes are read
+    in one order of day and month for the whole column (``month_first``); cells that do not
+    fit it become NULL and count as removed.
     """
     return df.withColumns({c: _coerced(df, c, t) for c, t in types.items() if c in df.columns})
 
