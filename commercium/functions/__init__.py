@@ -2,6 +2,8 @@ from commercium.functions.scalars import (
     amount_label,
     clip,
     count_if,
+    exact_mean,
+    exact_sum,
     month_start,
     null_safe_equal,
     percent_label,
@@ -16,6 +18,8 @@ __all__ = [
     "amount_label",
     "clip",
     "count_if",
+    "exact_mean",
+    "exact_sum",
     "month_start",
     "null_safe_equal",
     "percent_label",

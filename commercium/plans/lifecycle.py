@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from commercium.functions import clip, count_if, ratio, round_half_even, round_half_up
+from commercium.functions import clip, count_if, exact_mean, exact_sum, ratio, round_half_even, round_half_up
 from commercium.operators.ordered import number_copies, number_rows, value_ranks
 from commercium.sources.staging import stage
 
@@ -114,11 +114,11 @@ def revenue_attainment(scored: DataFrame) -> DataFrame:
 
 
 def _mean(column: str, digits: int = 2) -> Column:
-    return round_half_up(F.avg(column), digits)
+    return round_half_up(exact_mean(column), digits)
 
 
 def _attainment_pct() -> Column:
-    return round_half_up(F.avg("revenue_attainment") * 100, 2)
+    return round_half_up(exact_mean("revenue_attainment") * 100, 2)
 
 
 def _status_counts(green: str, amber: str, red: str) -> list[Column]:
@@ -133,7 +133,7 @@ def _initiatives() -> Column:
 
 
 def _revenue() -> Column:
-    return round_half_up(F.sum("actual_revenue"), 2).alias("total_revenue")
+    return round_half_up(exact_sum("actual_revenue"), 2).alias("total_revenue")
 
 
 def aos_summary(scored: DataFrame) -> DataFrame:
@@ -161,7 +161,7 @@ def otd_analysis(scored: DataFrame) -> DataFrame:
         .agg(
             _mean("planned_otd_pct").alias("planned_otd"),
             _mean("actual_otd_pct").alias("actual_otd"),
-            round_half_up(F.avg(F.col("actual_otd_pct") - F.col("planned_otd_pct")), 2).alias("otd_variance"),
+            round_half_up(exact_mean(F.col("actual_otd_pct") - F.col("planned_otd_pct")), 2).alias("otd_variance"),
             _mean("backlog_days").alias("avg_backlog"),
             count_if(F.col("actual_otd_pct") >= ON_TIME_PCT).alias("on_time_initiatives"),
             F.count(F.lit(1)).alias("total_records"),
@@ -259,11 +259,11 @@ def plcm_summary(scored: DataFrame) -> DataFrame:
     return keyed.groupBy("business_unit", "region").agg(
         _initiatives(),
         F.count("initiative_id").alias("observations"),
-        round_half_even(F.avg("aos_health"), 3).alias("avg_aos"),
-        F.avg("revenue_attainment").alias("avg_revenue_attainment"),
-        F.avg("actual_otd_pct").alias("avg_otd"),
-        F.avg("backlog_days").alias("avg_backlog"),
-        F.sum("actual_revenue").alias("total_revenue"),
+        round_half_even(exact_mean("aos_health"), 3).alias("avg_aos"),
+        exact_mean("revenue_attainment").alias("avg_revenue_attainment"),
+        exact_mean("actual_otd_pct").alias("avg_otd"),
+        exact_mean("backlog_days").alias("avg_backlog"),
+        exact_sum("actual_revenue").alias("total_revenue"),
     )
 
 
@@ -277,10 +277,10 @@ def initiative_ranking(scored: DataFrame) -> DataFrame:
     )
     averages = stage(
         keyed.groupBy(*keys).agg(
-            F.round(F.avg("aos_health"), 10).alias("avg_aos"),
-            F.sum("actual_revenue").alias("total_revenue"),
-            F.avg("actual_otd_pct").alias("avg_otd"),
-            F.avg("backlog_days").alias("avg_backlog"),
+            F.round(exact_mean("aos_health"), 10).alias("avg_aos"),
+            exact_sum("actual_revenue").alias("total_revenue"),
+            exact_mean("actual_otd_pct").alias("avg_otd"),
+            exact_mean("backlog_days").alias("avg_backlog"),
         ),
         "initiative-averages",
     )

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from commercium.functions import clip, month_start, quarter_label, quarter_start, ratio, round_half_up
+from commercium.functions import clip, exact_mean, exact_sum, month_start, quarter_label, quarter_start, ratio, round_half_up
 from commercium.operators.ordered import quantiles, running_totals, top_ranked, value_ranks
 from commercium.sources.cleaning import derive_discount, derive_revenue
 from commercium.sources.staging import stage
@@ -20,10 +20,10 @@ def _quarter() -> Column:
 def price_realization(orders: DataFrame) -> DataFrame:
     """Selling price, list price, discount and volume per commercial segment and quarter."""
     return orders.groupBy("business_unit", "region", "channel", "customer_tier", _quarter()).agg(
-        ratio(F.sum("revenue"), F.sum("quantity")).alias("avg_sell_price"),
-        F.avg("list_price").alias("avg_list_price"),
-        F.avg("discount_pct").alias("avg_discount_pct"),
-        F.sum("revenue").alias("total_revenue"),
+        ratio(exact_sum("revenue"), F.sum("quantity")).alias("avg_sell_price"),
+        exact_mean("list_price").alias("avg_list_price"),
+        exact_mean("discount_pct").alias("avg_discount_pct"),
+        exact_sum("revenue").alias("total_revenue"),
         F.sum("quantity").alias("total_units"),
     )
 
@@ -43,7 +43,7 @@ def discount_matrix(orders: DataFrame) -> DataFrame:
     return (
         orders.groupBy("channel", "customer_tier", "region")
         .agg(
-            round_half_up(F.avg("discount_pct"), 2).alias("avg_discount_pct"),
+            round_half_up(exact_mean("discount_pct"), 2).alias("avg_discount_pct"),
             round_half_up(F.stddev_samp("discount_pct"), 2).alias("discount_variance"),
             F.count(F.lit(1)).alias("order_count"),
         )
@@ -56,7 +56,7 @@ def quarterly_index(index: DataFrame) -> DataFrame:
     quarter = quarter_start(F.col("observation_date"))
     return (
         index.groupBy(quarter.alias("quarter"))
-        .agg(F.avg("ppi_index").alias("ppi_index"))
+        .agg(exact_mean("ppi_index").alias("ppi_index"))
         .withColumns(
             {"quarter_label": quarter_label(F.col("quarter")), "log_ppi": F.ln("ppi_index")}
         )
@@ -76,7 +76,7 @@ def price_vs_index(orders: DataFrame, index: DataFrame) -> DataFrame:
 
     Orders are reduced to one row per unit and quarter before they meet the index.
     """
-    prices = orders.groupBy("business_unit", _quarter()).agg(F.avg("list_price").alias("avg_list_price"))
+    prices = orders.groupBy("business_unit", _quarter()).agg(exact_mean("list_price").alias("avg_list_price"))
     levels = quarterly_index(index).select("quarter", "ppi_index")
     return (
         prices.join(levels, "quarter")
@@ -138,7 +138,7 @@ def discount_creep(orders: DataFrame, changed_only: bool = False) -> DataFrame:
 
     The lag counts rows, so a region with a missing quarter compares unlike quarters.
     """
-    quarterly = orders.groupBy("region", _quarter()).agg(F.avg("discount_pct").alias("avg_discount"))
+    quarterly = orders.groupBy("region", _quarter()).agg(exact_mean("discount_pct").alias("avg_discount"))
     earlier = F.lag("avg_discount", 4).over(Window.partitionBy("region").orderBy(F.asc_nulls_last("quarter")))
     view = quarterly.withColumn("yoy_discount_change", F.col("avg_discount") - earlier)
     if changed_only:
@@ -151,7 +151,7 @@ def _sku_discounts(orders: DataFrame) -> DataFrame:
     return stage(
         orders.groupBy("region", "sku", "business_unit").agg(
             # Ten decimals: summation order must not split equal averages into ranks.
-            F.round(F.avg("discount_pct"), 10).alias("avg_discount_pct"),
+            F.round(exact_mean("discount_pct"), 10).alias("avg_discount_pct"),
             F.count(F.lit(1)).alias("order_count"),
         ),
         "sku-discounts",
@@ -180,7 +180,7 @@ def top_discount_offenders(orders: DataFrame, worst: int = 5) -> DataFrame:
 def asp_moving_average(orders: DataFrame) -> DataFrame:
     """Two-quarter moving average of the selling price per business unit."""
     quarterly = orders.groupBy("business_unit", _quarter()).agg(
-        ratio(F.sum("revenue"), F.sum("quantity")).alias("avg_sell_price")
+        ratio(exact_sum("revenue"), F.sum("quantity")).alias("avg_sell_price")
     )
     recent = Window.partitionBy("business_unit").orderBy(F.asc_nulls_last("quarter")).rowsBetween(-1, 0)
     return quarterly.withColumn("asp_2q_moving_avg", F.avg("avg_sell_price").over(recent))
@@ -190,7 +190,7 @@ def sku_pareto(orders: DataFrame) -> DataFrame:
     """Revenue rank and cumulative revenue share of every SKU, ties ordered by SKU."""
     revenue = stage(
         orders.groupBy("sku", "business_unit").agg(
-            F.round(F.sum("revenue"), 6).alias("total_revenue")
+            F.round(exact_sum("revenue"), 6).alias("total_revenue")
         ),
         "sku-revenue",
     )
@@ -216,8 +216,8 @@ def pricing_baseline(orders: DataFrame) -> DataFrame:
     return valued.agg(
         F.count(F.lit(1)).alias("orders"),
         F.sum("quantity").alias("quantity"),
-        F.sum("revenue").alias("revenue"),
-        ratio(F.sum("revenue"), F.sum("quantity")).alias("weighted_avg_price"),
+        exact_sum("revenue").alias("revenue"),
+        ratio(exact_sum("revenue"), F.sum("quantity")).alias("weighted_avg_price"),
         F.countDistinct("sku").alias("skus"),
     )
 
@@ -232,8 +232,8 @@ def discount_profile(orders: DataFrame) -> DataFrame:
     )
     totals = priced.groupBy("business_unit").agg(
         F.count(F.lit(1)).alias("orders"),
-        F.sum("revenue").alias("revenue"),
-        F.avg("calculated_discount_pct").alias("avg_discount_pct"),
+        exact_sum("revenue").alias("revenue"),
+        exact_mean("calculated_discount_pct").alias("avg_discount_pct"),
         F.max("calculated_discount_pct").alias("max_discount_pct"),
     )
     medians = quantiles(
@@ -259,7 +259,7 @@ def top_half_sku_orders(orders: DataFrame, fraction: float = 0.5) -> DataFrame:
     sums = stage(
         orders.where(F.col("sku").isNotNull())
         .groupBy("sku")
-        .agg(F.round(F.sum("net_price"), 6).alias("price_sum")),
+        .agg(F.round(exact_sum("net_price"), 6).alias("price_sum")),
         "sku-prices",
     )
     order = [F.col("price_sum").desc(), F.col("sku").asc()]

@@ -28,6 +28,8 @@ _SCENARIO = ["order_date", "sku", "list_price", "net_price", "quantity"]
 _SOLD = ["quantity", "net_price"]
 _HEADLINE = ["order_id", "order_date", "business_unit", "sku", "region", "channel", "customer_tier", "net_price", "quantity"]
 _MONEY = dict.fromkeys(["baseline_revenue", "scenario_revenue", "revenue_change", "scenario_quantity"], 2)
+# The change from list to scenario price cancels, so its noise would split ties at four digits.
+_UPLIFT = {**_MONEY, "avg_scenario_discount_pct": 8}
 _ORDER_KEY = ["order_date", "order_id", "sku", "region", "channel", "customer_tier", "log_quantity", "log_net_price", "log_ppi"]
 
 
@@ -478,22 +480,22 @@ def _segment_opportunities(spark, root):
 
 @query
 def sku_opportunities(spark, root):
-    return rounded(_sku_opportunities(spark, root), **_MONEY)
+    return rounded(_sku_opportunities(spark, root), **_UPLIFT)
 
 
 @query
 def top_sku_uplift(spark, root):
-    return rounded(scenarios.top_sku_uplift(_sku_opportunities(spark, root)), **_MONEY)
+    return rounded(scenarios.top_sku_uplift(_sku_opportunities(spark, root)), **_UPLIFT)
 
 
 @query
 def segment_opportunities(spark, root):
-    return rounded(_segment_opportunities(spark, root), **_MONEY)
+    return rounded(_segment_opportunities(spark, root), **_UPLIFT)
 
 
 @query
 def top_segment_uplift(spark, root):
-    return rounded(scenarios.top_segment_uplift(_segment_opportunities(spark, root)), **_MONEY)
+    return rounded(scenarios.top_segment_uplift(_segment_opportunities(spark, root)), **_UPLIFT)
 
 
 # --- elasticity ------------------------------------------------------------------

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from commercium.functions import month_start, quarter_label
+from commercium.functions import exact_mean, exact_sum, month_start, quarter_label
 
 
 def star_table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -102,7 +102,7 @@ def raw_material_index(spark: SparkSession, root: str) -> DataFrame:
     line = star_table(spark, root, "lineitem")
     return line.groupBy(
         month_start(F.col("l_shipdate").cast("date")).alias("observation_date")
-    ).agg(F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("ppi_index"))
+    ).agg(exact_mean(F.col("l_extendedprice") / F.col("l_quantity")).alias("ppi_index"))
 
 
 INITIATIVE_COLUMNS = [
@@ -194,7 +194,7 @@ def competitor_pricing(spark: SparkSession, root: str) -> DataFrame:
     prices = (
         _company_lines(spark, root)
         .groupBy("product_family", "company")
-        .agg(F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("avg_price_usd"))
+        .agg(exact_mean(F.col("l_extendedprice") / F.col("l_quantity")).alias("avg_price_usd"))
     )
     own = star_table(spark, root, "region").agg(F.min("r_name")).scalar()
     return prices.withColumn("is_own", (F.col("company") == own).cast("int"))
@@ -205,13 +205,13 @@ def market_share(spark: SparkSession, root: str) -> DataFrame:
     revenue = (
         _company_lines(spark, root)
         .groupBy("product_family", "company")
-        .agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"))
+        .agg(exact_sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"))
     )
     family = Window.partitionBy("product_family")
     return revenue.select(
         "product_family",
         "company",
-        (F.col("revenue") * 100 / F.sum("revenue").over(family)).alias("market_share_pct"),
+        (F.col("revenue") * 100 / exact_sum("revenue", family)).alias("market_share_pct"),
     )
 
 
@@ -247,7 +247,7 @@ def industry_growth(spark: SparkSession, root: str) -> DataFrame:
         fact.join(lookup, fact.l_orderkey == lookup.o_orderkey, "left")
         .join(part, fact.l_partkey == part.p_partkey, "left")
         .groupBy(_industry(F.col("p_brand")).alias("industry"), F.year("order_date").alias("year"))
-        .agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"))
+        .agg(exact_sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"))
     )
     before = F.lag("revenue").over(Window.partitionBy("industry").orderBy("year"))
     return yearly.select(

@@ -2,9 +2,12 @@
 
 
 def r(expression: str, digits: int = 4) -> str:
-    """Round half away from zero on the value's 13 significant digits, large ones on 15, as a double."""
-    x = f"cast({expression} as double)"
-    text = f"case when abs({x}) < 1e{11 - digits} then printf('%.12e', {x}) else printf('%.14e', {x}) end"
+    """Round half away from zero on the value's 15 significant digits, as a double.
+
+    Sums and means under it are compensated ones (fsum, favg), so that the order of the
+    rows does not show.
+    """
+    text = f"printf('%.14e', cast({expression} as double))"
     return f"cast(round(cast({text} as decimal(38,20)), {digits}) as double)"
 
 
@@ -48,7 +51,7 @@ left join region on n_regionkey = r_regionkey
 left join part on l_partkey = p_partkey""",
     "raw_material_index": """
 select cast(date_trunc('month', l_shipdate) as date) as observation_date,
-       avg(l_extendedprice / l_quantity) as ppi_index
+       favg(l_extendedprice / l_quantity) as ppi_index
 from lineitem group by 1""",
     "initiatives": """
 select concat('INIT-', l_suppkey) as initiative_id,
@@ -126,12 +129,12 @@ left join nation on s_nationkey = n_nationkey
 left join region on n_regionkey = r_regionkey
 left join part on l_partkey = p_partkey""",
     "competitor_pricing": """
-select product_family, company, avg(l_extendedprice / l_quantity) as avg_price_usd,
+select product_family, company, favg(l_extendedprice / l_quantity) as avg_price_usd,
        cast(company = (select min(r_name) from region) as int) as is_own
 from company_lines group by all""",
     "market_share": """
 select product_family, company, rev * 100 / sum(rev) over (partition by product_family) as market_share_pct
-from (select product_family, company, sum(l_extendedprice * (1 - l_discount)) as rev
+from (select product_family, company, fsum(l_extendedprice * (1 - l_discount)) as rev
       from company_lines group by all) t""",
     "product_industry": """
 select distinct p_brand as product_family,
@@ -142,13 +145,13 @@ from part""",
 select industry, year, 100 * (rev / lag(rev) over (partition by industry order by year) - 1) as growth_pct
 from (select concat('IND-', cast(substr(p_brand, 7) as int) % 5) as industry,
              cast(year(o_orderdate) as int) as year,
-             sum(l_extendedprice * (1 - l_discount)) as rev
+             fsum(l_extendedprice * (1 - l_discount)) as rev
       from lineitem left join orders on l_orderkey = o_orderkey
       left join part on l_partkey = p_partkey group by all) t""",
     "families": f"""
 select product_family,
        {r('max(case when is_own = 1 then avg_price_usd end)', 2)} as own_price,
-       {r('avg(case when is_own <> 1 then avg_price_usd end)', 2)} as competitor_avg_price
+       {r('favg(case when is_own <> 1 then avg_price_usd end)', 2)} as competitor_avg_price
 from competitor_pricing group by product_family""",
     "own_shares": f"""
 select m.product_family, {r('m.market_share_pct', 2)} as market_share_pct, m.market_share_rank

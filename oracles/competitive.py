@@ -54,14 +54,14 @@ _PRIORITY = r(
 _SURFACE = """,
 pricing_surface as (
   select product_family, region, concat(year(order_date), 'Q', quarter(order_date)) as quarter,
-         sum(revenue) / nullif(sum(quantity), 0) as avg_sell_price, avg(discount_pct) as avg_discount_pct,
-         sum(revenue) as order_revenue
+         fsum(revenue) / nullif(sum(quantity), 0) as avg_sell_price, favg(discount_pct) as avg_discount_pct,
+         fsum(revenue) as order_revenue
   from pricing_orders group by all),
 execution as (
-  select product_family, region, quarter, avg(aos_health) as health_score,
-         avg(execution_score) as execution_score, avg(customer_adoption_pct) as adoption_pct,
-         avg(gross_margin_pct) as gross_margin_pct, avg(backlog_days) as backlog_days,
-         avg(revenue_attainment) as revenue_attainment
+  select product_family, region, quarter, favg(aos_health) as health_score,
+         favg(execution_score) as execution_score, favg(customer_adoption_pct) as adoption_pct,
+         favg(gross_margin_pct) as gross_margin_pct, favg(backlog_days) as backlog_days,
+         favg(revenue_attainment) as revenue_attainment
   from scored group by all),
 growth as (
   select industry, arg_max(growth_pct, year) as industry_growth_pct
@@ -120,8 +120,8 @@ from summary"""),
         {"product_family": None, "own_price": 6, "competitor_avg_price": 6, "potential_price_increase_usd": 6,
          "potential_price_increase_pct": 6, "strategic_recommendation": None})),
     "competitor_recommendation": with_tables(rounded("""
-select *, case when avg_price_usd < (select avg(avg_price_usd) from competitor_pricing) then 'Increase Price'
-               when avg_price_usd > (select avg(avg_price_usd) from competitor_pricing) * 1.05::double
+select *, case when avg_price_usd < (select favg(avg_price_usd) from competitor_pricing) then 'Increase Price'
+               when avg_price_usd > (select favg(avg_price_usd) from competitor_pricing) * 1.05::double
                  then 'Reduce Price'
                else 'Maintain' end as recommendation
 from competitor_pricing""",
@@ -142,7 +142,7 @@ select count(*) as total_products,
        count(*) filter (strategic_action = 'Growth Opportunity') as growth_opportunities,
        count(*) filter (strategic_action = 'Potential Price Advantage') as price_advantages,
        count(*) filter (strategic_action = 'Monitor Pricing') as monitor_pricing,
-       count(market_share_pct) as with_market_share, {r('avg(price_gap_pct)', 6)} as average_price_gap_pct
+       count(market_share_pct) as with_market_share, {r('favg(price_gap_pct)', 6)} as average_price_gap_pct
 from final"""),
     "decision_surface": _surface(rounded("select * from surface", {
         "product_family": None, "region": None, "quarter": None, "health_score": 4, "execution_score": 4,
@@ -152,16 +152,16 @@ from final"""),
         "commercial_score": 4, "adoption_score": 4, "evidence_score": 4, "priority_score": 4,
         "priority_band": None, "recommended_action": None})),
     "decision_priority": _surface(rounded("""
-select priority_band, count(*) as combinations, avg(priority_score) as avg_score,
+select priority_band, count(*) as combinations, favg(priority_score) as avg_score,
        min(priority_score) as min_score, max(priority_score) as max_score
 from surface group by priority_band""",
         {"priority_band": None, "combinations": None, "avg_score": 4, "min_score": 4, "max_score": 4})),
     "decision_mix": _surface(rounded("""
 select product_family, count(*) as combinations,
-       avg(case when recommended_action in ('Fix Execution First', 'Clear Delivery Backlog') then 1.0::double
+       favg(case when recommended_action in ('Fix Execution First', 'Clear Delivery Backlog') then 1.0::double
                 else 0.0::double end) * 100 as execution_led_pct,
-       avg(priority_score) as avg_priority_score, avg(execution_score) as avg_execution_score,
-       avg(gross_margin_pct) as avg_gross_margin_pct, avg(adoption_pct) as avg_adoption_pct
+       favg(priority_score) as avg_priority_score, favg(execution_score) as avg_execution_score,
+       favg(gross_margin_pct) as avg_gross_margin_pct, favg(adoption_pct) as avg_adoption_pct
 from surface group by product_family""",
         {"product_family": None, "combinations": None, "execution_led_pct": 4, "avg_priority_score": 4,
          "avg_execution_score": 4, "avg_gross_margin_pct": 4, "avg_adoption_pct": 4})),

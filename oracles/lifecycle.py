@@ -12,11 +12,11 @@ def _risk(body: str) -> str:
 
 
 def _avg(column: str, digits: int = 2) -> str:
-    return r(f"avg({column})", digits)
+    return r(f"favg({column})", digits)
 
 
-_ATTAINMENT = r("avg(revenue_attainment) * 100", 2)
-_REVENUE = r("sum(actual_revenue)", 2)
+_ATTAINMENT = r("favg(revenue_attainment) * 100", 2)
+_REVENUE = r("fsum(actual_revenue)", 2)
 
 
 def _status(green: str, amber: str, red: str) -> str:
@@ -38,8 +38,8 @@ from scored group by lifecycle_stage, business_unit"""
 def _dimension(column: str) -> str:
     score = "(1 - avg_aos) * 60 + avg_backlog / (select max(avg_backlog) from means) * 40"
     return _scored(f""",
-means as (select {column}, avg(aos_health) as avg_aos, avg(backlog_days) as avg_backlog,
-                 avg(actual_otd_pct) as avg_otd, sum(actual_revenue) as revenue,
+means as (select {column}, favg(aos_health) as avg_aos, favg(backlog_days) as avg_backlog,
+                 favg(actual_otd_pct) as avg_otd, fsum(actual_revenue) as revenue,
                  count(distinct initiative_id) as initiatives
           from scored group by {column})
 select {column}, {r('avg_aos', 6)} as avg_aos, {r('avg_backlog', 6)} as avg_backlog,
@@ -51,7 +51,7 @@ from means""")
 def _worst(column: str) -> str:
     return f"""(select {column} from (
   select {column}, round_even(((1 - avg_aos) * 60 + avg_backlog / max(avg_backlog) over () * 40) * 100, 0) / 100 as s
-  from (select {column}, avg(aos_health) as avg_aos, avg(backlog_days) as avg_backlog
+  from (select {column}, favg(aos_health) as avg_aos, favg(backlog_days) as avg_backlog
         from scored group by {column}) m) t order by s desc, {column} desc limit 1)"""
 
 
@@ -104,15 +104,15 @@ select owner, count(distinct initiative_id) as initiatives, {_avg('aos_health',
 from scored group by owner"""),
     "plcm_summary": _scored(f"""
 select business_unit, region, count(distinct initiative_id) as initiatives,
-       count(initiative_id) as observations, round_even(avg(aos_health) * 1000, 0) / 1000 as avg_aos,
+       count(initiative_id) as observations, round_even(favg(aos_health) * 1000, 0) / 1000 as avg_aos,
        {_avg('revenue_attainment', 6)} as avg_revenue_attainment, {_avg('actual_otd_pct', 6)} as avg_otd,
        {_avg('backlog_days', 6)} as avg_backlog, {_REVENUE} as total_revenue
 from scored group by business_unit, region"""),
     "initiative_ranking": _scored(rounded("""
 select *, row_number() over (order by avg_aos desc, initiative_id, initiative_name, business_unit) as rank
-from (select initiative_id, initiative_name, business_unit, round(avg(aos_health), 10) as avg_aos,
-             sum(actual_revenue) as total_revenue, avg(actual_otd_pct) as avg_otd,
-             avg(backlog_days) as avg_backlog
+from (select initiative_id, initiative_name, business_unit, round(favg(aos_health), 10) as avg_aos,
+             fsum(actual_revenue) as total_revenue, favg(actual_otd_pct) as avg_otd,
+             favg(backlog_days) as avg_backlog
       from scored group by initiative_id, initiative_name, business_unit) a""",
         {"initiative_id": None, "initiative_name": None, "business_unit": None, "avg_aos": 6,
          "total_revenue": 2, "avg_otd": 6, "avg_backlog": 6, "rank": None})),
@@ -126,7 +126,7 @@ select * from risk where risk_score >= (select quantile_cont(risk_score, 0.9) fr
     "business_unit_risk": _dimension("business_unit"),
     "owner_performance": _scored(f"""
 select owner, count(distinct initiative_id) as initiatives, {_avg('aos_health', 6)} as avg_aos,
-       {_avg('actual_otd_pct', 6)} as avg_otd, {r('sum(actual_revenue)', 2)} as revenue
+       {_avg('actual_otd_pct', 6)} as avg_otd, {r('fsum(actual_revenue)', 2)} as revenue
 from scored group by owner"""),
     "risk_headline": _risk(f"""
 select count(distinct initiative_id) as total_initiatives, count(*) as observations,

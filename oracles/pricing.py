@@ -64,15 +64,15 @@ def _null_profile(table: str, types: dict[str, str]) -> str:
 
 _REALIZATION = f"""
 select business_unit, region, channel, customer_tier, {_QUARTER} as quarter,
-       {r('sum(revenue) / nullif(sum(quantity), 0)')} as avg_sell_price,
-       {r('avg(list_price)')} as avg_list_price,
-       {r('avg(discount_pct)', 6)} as avg_discount_pct,
-       {r('sum(revenue)', 2)} as total_revenue,
+       {r('fsum(revenue) / nullif(sum(quantity), 0)')} as avg_sell_price,
+       {r('favg(list_price)')} as avg_list_price,
+       {r('favg(discount_pct)', 6)} as avg_discount_pct,
+       {r('fsum(revenue)', 2)} as total_revenue,
        cast(sum(quantity) as bigint) as total_units
 from pricing_orders group by all"""
 
 _MATRIX = f"""
-select channel, customer_tier, region, {r('avg(discount_pct)', 2)} as avg_discount_pct,
+select channel, customer_tier, region, {r('favg(discount_pct)', 2)} as avg_discount_pct,
        {r('stddev_samp(discount_pct)', 2)} as discount_variance, count(*) as order_count
 from pricing_orders group by all"""
 
@@ -105,12 +105,12 @@ _HEADLINE = {
 _CREEP = f"""
 select region, quarter, avg_discount,
        avg_discount - lag(avg_discount, 4) over (partition by region order by quarter) as yoy_discount_change
-from (select region, {_QUARTER} as quarter, avg(discount_pct) as avg_discount
+from (select region, {_QUARTER} as quarter, favg(discount_pct) as avg_discount
       from pricing_orders group by all) q"""
 
 _OFFENDERS = """
 select *, rank() over (partition by region order by avg_discount_pct desc) as discount_rank_in_region
-from (select region, sku, business_unit, round(avg(discount_pct), 10) as avg_discount_pct,
+from (select region, sku, business_unit, round(favg(discount_pct), 10) as avg_discount_pct,
              count(*) as order_count
       from pricing_orders group by region, sku, business_unit) s"""
 _OFFENDER_COLUMNS = {
@@ -171,16 +171,16 @@ from pricing_orders where quantity > 0 group by region, channel"""),
     "ppi_quarterly": with_tables(f"""
 select quarter, {r('ppi_index')} as ppi_index, {_LABEL.format('quarter')} as quarter_label,
        {r('ln(ppi_index)', 8)} as log_ppi
-from (select date_trunc('quarter', observation_date)::date as quarter, avg(ppi_index) as ppi_index
+from (select date_trunc('quarter', observation_date)::date as quarter, favg(ppi_index) as ppi_index
       from raw_material_index group by 1) q""", "raw_material_index"),
     "ppi_monthly_last": with_tables(f"""
 select date_trunc('month', observation_date)::date as month,
        {r('arg_max(ppi_index, observation_date)')} as ppi_index
 from raw_material_index group by 1""", "raw_material_index"),
     "price_vs_index": _both(f"""
-select business_unit, o.quarter, {r('avg(list_price)', 2)} as avg_list_price, {r('ppi_index', 2)} as ppi_index
+select business_unit, o.quarter, {r('favg(list_price)', 2)} as avg_list_price, {r('ppi_index', 2)} as ppi_index
 from (select *, {_QUARTER} as quarter from pricing_orders) o
-join (select date_trunc('quarter', observation_date)::date as quarter, avg(ppi_index) as ppi_index
+join (select date_trunc('quarter', observation_date)::date as quarter, favg(ppi_index) as ppi_index
       from raw_material_index group by 1) p on o.quarter = p.quarter
 group by business_unit, o.quarter, p.ppi_index"""),
     "orders_with_monthly_index": _both(rounded(_MONTHLY, {**_HEADLINE, "month": None, "ppi_index": 4})),
@@ -188,7 +188,7 @@ group by business_unit, o.quarter, p.ppi_index"""),
 select order_id, order_date, business_unit, sku, region, channel, customer_tier, net_price, quantity,
        q.quarter, q.ppi, ln(q.ppi) as log_ppi, ln(quantity) as log_quantity, ln(net_price) as log_net_price
 from pricing_orders
-join (select {_LABEL.format('observation_date')} as quarter, avg(ppi_index) as ppi
+join (select {_LABEL.format('observation_date')} as quarter, favg(ppi_index) as ppi
       from raw_material_index group by 1) q on {_LABEL.format('order_date')} = q.quarter""",
         {**_HEADLINE, "ppi": 4})),
     "index_match_rate": _both("""
@@ -207,7 +207,7 @@ from pricing_orders left join (select distinct date_trunc('month', observation_d
     "asp_moving_avg": _orders(rounded(f"""
 select *, avg(avg_sell_price) over (partition by business_unit order by quarter
                                     rows between 1 preceding and current row) as asp_2q_moving_avg
-from (select business_unit, {_QUARTER} as quarter, sum(revenue) / nullif(sum(quantity), 0) as avg_sell_price
+from (select business_unit, {_QUARTER} as quarter, fsum(revenue) / nullif(sum(quantity), 0) as avg_sell_price
       from pricing_orders group by all) q""",
         {"business_unit": None, "quarter": None, "avg_sell_price": 4, "asp_2q_moving_avg": 4})),
     "sku_pareto": _orders(f"""
@@ -215,24 +215,24 @@ select sku, business_unit, {r('total_revenue', 2)} as total_revenue,
        rank() over (order by total_revenue desc) as revenue_rank,
        {r('''100.0 * sum(total_revenue) over (order by total_revenue desc, sku, business_unit
              rows unbounded preceding) / sum(total_revenue) over ()''', 1)} as cumulative_revenue_pct
-from (select sku, business_unit, round(sum(revenue), 6) as total_revenue
+from (select sku, business_unit, round(fsum(revenue), 6) as total_revenue
       from pricing_orders group by sku, business_unit) s"""),
     "pricing_baseline": _orders(f"""
 select count(*) as orders, cast(sum(quantity) as bigint) as quantity,
-       {r('sum(quantity * net_price)', 2)} as revenue,
-       {r('sum(quantity * net_price) / sum(quantity)')} as weighted_avg_price,
+       {r('fsum(quantity * net_price)', 2)} as revenue,
+       {r('fsum(quantity * net_price) / sum(quantity)')} as weighted_avg_price,
        count(distinct sku) as skus
 from pricing_orders where quantity > 0 and net_price > 0"""),
     "discount_profile": _orders(f"""
-select business_unit, count(*) as orders, {r('sum(quantity * net_price)', 2)} as revenue,
-       {r(f'avg({_DISCOUNT})', 6)} as avg_discount_pct,
+select business_unit, count(*) as orders, {r('fsum(quantity * net_price)', 2)} as revenue,
+       {r(f'favg({_DISCOUNT})', 6)} as avg_discount_pct,
        {r(f'median({_DISCOUNT})', 6)} as median_discount_pct,
        {r(f'max({_DISCOUNT})', 6)} as max_discount_pct
 from pricing_orders where quantity > 0 and net_price > 0 and list_price > 0 group by business_unit"""),
     "top_half_sku_orders": _orders("""
 select order_id, sku, quantity, net_price from pricing_orders where sku in (
   select sku from (select sku, row_number() over (order by price_sum desc, sku) as n, count(*) over () as skus
-                   from (select sku, round(sum(net_price), 6) as price_sum from pricing_orders group by sku) s) t
+                   from (select sku, round(fsum(net_price), 6) as price_sum from pricing_orders group by sku) s) t
   where n <= greatest(1, floor(skus * 0.5)))"""),
     "trimmed_orders": _orders("""
 select order_id, sku, quantity, net_price from pricing_orders

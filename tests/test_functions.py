@@ -1,10 +1,15 @@
 import datetime
 import math
+import random
+from decimal import Decimal
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from commercium.functions import (
     clip,
+    exact_mean,
+    exact_sum,
     month_start,
     quarter_label,
     quarter_start,
@@ -19,7 +24,7 @@ def value(spark, column):
 
 
 def test_half_up_decides_ties_on_the_decimal_value(spark):
-    cases = [(1.005, 1.01), (2.675, 2.68), (-0.125, -0.13), (45.004, 45.0), (1163249.5049999998, 1163249.51)]
+    cases = [(1.005, 1.01), (1.0049999999999, 1.0), (2.675, 2.68), (-0.125, -0.13), (45.004, 45.0), (1163249.5049999998, 1163249.51)]
     for x, expected in cases:
         assert value(spark, round_half_up(F.lit(x), 2)) == expected
 
@@ -31,6 +36,40 @@ def test_half_up_rounds_once_and_keeps_what_has_no_places(spark):
     assert value(spark, round_half_up(F.lit(None).cast("double"), 2)) is None
 
 
+def test_exact_sums_do_not_depend_on_order_or_partitions(spark):
+    """Values of very unlike size, where a plain sum shows the order of its rows."""
+    generator = random.Random(7)
+    values = [round(generator.uniform(-1, 1) * 10 ** generator.randint(-6, 10), 6) for _ in range(5_000)]
+    true = sum((Decimal(str(v)) for v in values), Decimal(0))
+    seen = set()
+    for parts in (1, 3, 17):
+        generator.shuffle(values)
+        rows = spark.createDataFrame([(v,) for v in values], "v double").repartition(parts)
+        seen.add(tuple(rows.agg(exact_sum("v"), exact_mean("v")).first()))
+    assert seen == {(float(true), float(true) / len(values))}
+
+
+def test_exact_sums_of_nothing_and_of_what_has_no_decimals(spark):
+    rows = spark.createDataFrame(
+        [("none", None), ("some", None), ("some", 0.1), ("some", 0.2), ("large", 1e300), ("large", 1.0),
+         ("infinite", float("inf")), ("infinite", 1.0), ("nan", float("nan"))],
+        "k string, v double",
+    )
+    got = {k: (s, m) for k, s, m in rows.groupBy("k").agg(exact_sum("v"), exact_mean("v")).collect()}
+    assert got["none"] == (None, None)
+    assert got["some"] == (0.3, 0.15)
+    assert got["large"] == (1e300, 5e299)
+    assert got["infinite"] == (float("inf"), float("inf"))
+    assert math.isnan(got["nan"][0])
+    assert [tuple(r) for r in rows.limit(0).agg(exact_sum("v"), exact_mean("v")).collect()] == [(None, None)]
+
+
+def test_exact_sums_over_a_window(spark):
+    rows = spark.createDataFrame([("a", 0.1), ("a", 0.2), ("b", 5.0), ("b", None)], "k string, v double")
+    shown = rows.select("k", exact_sum("v", Window.partitionBy("k")).alias("s")).distinct().collect()
+    assert sorted(map(tuple, shown)) == [("a", 0.3), ("b", 5.0)]
+
+
 def test_half_even_matches_binary_rounding(spark):
     for x, digits, expected in [(0.8125, 3, 0.812), (0.8135, 3, 0.814), (2.5, 0, 2.0), (8.345, 2, 8.35)]:
         assert value(spark, round_half_even(F.lit(x), digits)) == round(x * 10**digits) / 10**digits

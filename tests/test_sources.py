@@ -1,6 +1,7 @@
 import datetime
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
@@ -146,6 +147,43 @@ def test_csv_columns_are_found_by_header_name(spark, tmp_path):
     assert [tuple(r) for r in rows] == [("S1", "EU", 3), ("S2", "US", None)]
 
 
+def test_csv_folders_are_read_by_each_files_header(spark, tmp_path):
+    folder = tmp_path / "feed"
+    folder.mkdir()
+    (folder / "a b+c%.csv").write_text("region,quantity,sku\nEU,3,S1\nUS,many,S2\n")
+    (folder / "b.csv").write_text("sku,region,quantity\nS3,EU,4\n")
+    (folder / "c.csv").write_text("region,quantity,sku\n\"A, B\",5,S4\n")
+    (folder / "d.csv").write_text("sku,region\nS5,EU\n")
+    (folder / "e.csv").write_text("sku,region,quantity\n")
+    schema = "sku string, region string, quantity bigint"
+    rows = readers.read_csv(spark, str(folder), schema, each_header=True)
+    assert rows.dtypes == [("sku", "string"), ("region", "string"), ("quantity", "bigint")]
+    assert sorted(map(tuple, rows.collect())) == [
+        ("S1", "EU", 3), ("S2", "US", None), ("S3", "EU", 4), ("S4", "A, B", 5), ("S5", "EU", None),
+    ]
+    with pytest.raises(AnalysisException):
+        readers.read_csv(spark, str(folder), "sku string, colour string", each_header=True)
+    with pytest.raises(ValueError):
+        readers.read_csv(spark, str(folder), each_header=True)
+
+
+def test_first_lines_are_found_in_files_of_several_blocks(spark, tmp_path):
+    """Later blocks have first rows too, and small files share a task."""
+    folder = tmp_path / "feed"
+    folder.mkdir()
+    swapped = ["sku,quantity", "quantity,sku"]
+    for n in range(6):
+        body = (f"S{i},{i}" if n % 2 == 0 else f"{i},S{i}" for i in range(2_000))
+        (folder / f"{n}.csv").write_text("\n".join([swapped[n % 2], *body]) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        rows = readers.read_csv(spark, str(folder), "sku string, quantity bigint", each_header=True)
+        assert rows.where(F.concat(F.lit("S"), "quantity") == F.col("sku")).count() == rows.count() == 12_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_dates_are_read_in_several_ways(spark):
     written = ["2024-03-04", "03/04/2024", "4 Mar 2024", "Mar 4, 2024", "2024/3/4", "20240304", "not a date", "", None]
     df = spark.createDataFrame([(x,) for x in written], "order_date string")
