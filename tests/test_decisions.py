@@ -51,8 +51,10 @@ def test_mart_reports_published_and_missing(spark, tmp_path):
     manifest = mart.publish_mart(spark, {"executive_kpis": result}, str(tmp_path), "csv")
     rows = {r["name"]: (r["rows"], r["status"]) for r in manifest.collect()}
     assert rows["executive_kpis"] == (7, "published") and rows["regional_risk"] == (None, "missing")
-    written = spark.read.option("header", True).csv(str(tmp_path / "Product_Lifecycle" / "Dashboards" / "executive_kpis"))
-    assert written.count() == 7
+    path = {r["name"]: r["path"] for r in manifest.collect()}["executive_kpis"]
+    assert path.endswith("/Product_Lifecycle/Dashboards/executive_kpis")
+    assert spark.read.option("header", True).csv(str(tmp_path / path)).count() == 7
+    assert mart.read_result(spark, str(tmp_path), "executive_kpis", "csv").count() == 7
     with pytest.raises(ValueError):
         mart.publish_mart(spark, {"other": result}, str(tmp_path))
 
