@@ -170,28 +170,41 @@ def shingle_rows(texts: DataFrame) -> DataFrame:
 
 
 def rare_meetings(texts: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of ``texts`` (id, text) of different ``roots`` (id, root) that share a shingle of both prefixes.
-
-    With shingles ordered by how many texts hold them, a set's prefix is its first
-    n - ceil(percent * n / 100) + 1. Sets that reach the similarity share a shingle of their
-    prefixes, so none is left out, while texts that share only what many texts hold
-    hardly meet. Only members of different roots meet, never two of one root.
+    """Pairs (a, b) of ``texts`` (id, text) of different ``roots`` (id, root) that may reach the similarity.
+
+    With shingles ordered by how many texts hold them, sets that share k shingles share
+    one among the first n - k + 1 of each. Sets x and y that reach the similarity share
+    at least percent / (100 + percent) of |x| + |y|, which is percent % of the larger one
+    and 2 * percent / (100 + percent) of the smaller one. So the short prefix of every
+    set meets the longer prefix of sets at least as large, and no similar pair is left out.
+    At the first shingle they share, what follows it in either set bounds all they share,
+    which gives each set the largest size its partner may have. Sets of one shingle, root
+    and size meet as one first, and their members only where a pair of them fits.
+    Shingles that no other text holds come first and meet nothing: a set with too many of
+    its own has no prefix left. Only members of different roots meet, never two of one root.
     """
     shingles = stage(shingle_rows(texts), "shingles")
     common = shingles.groupBy("s").agg(F.count("*").alias("held")).where("held > 1")
     own = W.partitionBy("id")
-    ranked = shingles.join(common, "s").select(
-        "id", "n", "s", F.row_number().over(own.orderBy("held", "s")).alias("rank"), F.count("*").over(own).alias("shared")
+    n, shared = F.col("n"), F.count("*").over(own)
+    place = n - shared + F.row_number().over(own.orderBy("held", "s"))
+    ranked = shingles.join(common, "s").select("id", "n", "s", place.alias("place"))
+    ranked = ranked.where(F.col("place") <= n - F.ceil(n * percent / 100) + 1)
+    limit = F.floor((n - F.col("place") + 1) * (100 + percent) / percent) - n
+    probe = stage(ranked.withColumn("limit", limit).join(roots, "id"), "prefixes")
+    index = probe.where(F.col("place") <= n - F.ceil(n * (2 * percent) / (100 + percent)) + 1)
+    small, large = (
+        side.select("s", F.col("root").alias(f"root_{x}"), n.alias(f"n_{x}"), F.col("id").alias(x), F.col("limit").alias(f"limit_{x}"))
+        for side, x in ((index, "a"), (probe, "b"))
+    )
+    some, others = (
+        side.groupBy("s", f"root_{x}", f"n_{x}").agg(F.max(f"limit_{x}").alias(f"most_{x}")) for side, x in ((small, "a"), (large, "b"))
     )
-    # The shingles that no other text holds come first in the order and meet nothing.
-    size = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    prefix = ranked.where(F.col("rank") <= size - (F.col("n") - F.col("shared"))).select("id", "s")
-    prefix = stage(prefix.join(roots, "id"), "prefixes")
-    sides = prefix.select("s", "root").distinct()
-    low, high = (sides.withColumnRenamed("root", f"root_{x}") for x in "ab")
-    meeting = low.join(high, "s").where("root_a < root_b")
-    for x in "ab":
-        meeting = meeting.join(prefix.select("s", F.col("root").alias(f"root_{x}"), F.col("id").alias(x)), ["s", f"root_{x}"])
+    sizes = (F.col("n_a") <= F.col("n_b")) & (F.col("n_a") * 100 >= F.col("n_b") * percent)
+    meeting = some.join(others, "s").where(sizes & (F.col("root_a") != F.col("root_b")))
+    meeting = meeting.where("n_b <= most_a and n_a <= most_b")
+    meeting = meeting.join(small, ["s", "root_a", "n_a"]).where("n_b <= limit_a")
+    meeting = meeting.join(large, ["s", "root_b", "n_b"]).where("n_a <= limit_b")
     return meeting.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 

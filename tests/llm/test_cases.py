@@ -221,3 +221,24 @@ def test_sequences_come_from_priced_patterns(root):
     assert {tuple(p) for p, _ in placed} <= set(cover)
     assert priced > 3 * filled
     assert priced + filled <= 1.005 * bound + 1
+
+
+def test_rare_shingles_lose_no_similar_pair(table):
+    """Sets about the similarity and of unlike sizes, against all pairs."""
+    rng = np.random.default_rng(5)
+    texts = {}
+    for k in range(90):
+        words = [f"g{k % 3}w{j}" for j in range(60 + 7 * (k % 4))]
+        for at in rng.integers(0, len(words), k % 5):
+            words[at] = f"e{rng.integers(0, 40)}"
+        texts[k] = " ".join(words)
+    sets = {k: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for k, t in texts.items() for w in [t.split()]}
+    similar = {
+        (a, b) for a in sets for b in sets
+        if a < b and a % 7 != b % 7 and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])
+    }
+    docs = table(list(texts.items()))
+    pairs = near.rare_meetings(docs.selectExpr("doc_id as id", "text"), docs.selectExpr("doc_id as id", "doc_id % 7 as root"), 75)
+    found = {(r.a, r.b) for r in pairs.collect()}
+    assert len(similar) > 100 and similar <= found
+    assert all(a % 7 != b % 7 for a, b in found)
