@@ -4,6 +4,7 @@ from commercium.functions.scalars import (
     count_if,
     exact_mean,
     exact_sum,
+    mean_of_parts,
     month_start,
     null_safe_equal,
     percent_label,
@@ -12,6 +13,8 @@ from commercium.functions.scalars import (
     ratio,
     round_half_even,
     round_half_up,
+    sum_of_parts,
+    sum_parts,
 )
 
 __all__ = [
@@ -20,6 +23,7 @@ __all__ = [
     "count_if",
     "exact_mean",
     "exact_sum",
+    "mean_of_parts",
     "month_start",
     "null_safe_equal",
     "percent_label",
@@ -28,4 +32,6 @@ __all__ = [
     "ratio",
     "round_half_even",
     "round_half_up",
+    "sum_of_parts",
+    "sum_parts",
 ]

@@ -60,6 +60,31 @@ def exact_mean(value: Column | str) -> Column:
     return ratio(exact_sum(number), F.count(number))
 
 
+def sum_parts(value: Column, name: str) -> list[Column]:
+    """Aggregates ``name_exact``, ``_plain``, ``_large`` and ``_count`` that can be grouped again.
+
+    ``sum_of_parts`` and ``mean_of_parts`` over them equal ``exact_sum`` and ``exact_mean``
+    over the values themselves, bit for bit as long as the exact part counts.
+    """
+    number = value.cast("double")
+    small = F.abs(number) < EXACT_BELOW
+    return [
+        F.sum(F.when(small, number).cast("decimal(28,12)")).alias(f"{name}_exact"),
+        F.sum(number).alias(f"{name}_plain"),
+        F.max(~small).alias(f"{name}_large"),
+        F.count(number).alias(f"{name}_count"),
+    ]
+
+
+def sum_of_parts(name: str) -> Column:
+    exact, plain = F.sum(f"{name}_exact").cast("double"), F.sum(f"{name}_plain")
+    return F.when(F.max(f"{name}_large"), plain).otherwise(exact)
+
+
+def mean_of_parts(name: str) -> Column:
+    return ratio(sum_of_parts(name), F.sum(f"{name}_count"))
+
+
 def round_half_up(value: Column, digits: int) -> Column:
     """Round half away from zero on the decimal value, as SQL NUMERIC does.
 

@@ -99,15 +99,20 @@ def _summary(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _surface(spark: SparkSession, root: str) -> DataFrame:
-    orders = _orders(
-        spark, root, "product_family", "region", "order_date", "revenue", "quantity", "discount_pct"
-    )
+    """The surface from one read of the fact: its inputs are groupings of a small staged cube."""
+    lines = lifecycle.scored_initiatives(star.decision_lines(spark, root))
+    cube = stage(decisions.line_cube(lines), "decision-cube")
+    companies = decisions.cube_companies(cube)
+    prices = star.with_own(spark, root, companies.select("product_family", "company", "avg_price_usd"))
+    shares = star.revenue_shares(companies.select("product_family", "company", "revenue"))
+    industries = star.product_industry(spark, root)
+    yearly = decisions.cube_yearly(cube, star.industry_of(F.col("product_family")))
     return decisions.decision_surface(
-        decisions.pricing_surface(orders),
-        decisions.execution_surface(_scored(spark, root)),
-        _summary(spark, root),
-        star.product_industry(spark, root),
-        star.industry_growth(spark, root),
+        decisions.cube_pricing(cube),
+        decisions.cube_execution(cube),
+        ci.competitive_summary(prices, shares, industries),
+        industries,
+        star.yearly_growth(yearly),
     )
 
 

@@ -127,6 +127,19 @@ INITIATIVE_COLUMNS = [
 ]
 
 
+def _plan_and_actuals() -> dict[str, Column]:
+    return {
+        "planned_revenue": F.col("l_extendedprice"),
+        "actual_revenue": F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax")),
+        "planned_otd_pct": F.lit(95),
+        "actual_otd_pct": 82 + F.col("l_tax") * 200,
+        "backlog_days": (F.col("l_orderkey") * 7 + F.col("l_linenumber") * 13 + F.col("l_partkey")) % 91,
+        "customer_adoption_pct": (F.col("p_size") * 2).cast("double"),
+        "gross_margin_pct": 15 + F.col("l_discount") * 350,
+        "budget_utilization_pct": 60 + F.col("l_quantity"),
+    }
+
+
 def initiatives(
     spark: SparkSession, root: str, columns: Sequence[str] | None = INITIATIVE_COLUMNS
 ) -> DataFrame:
@@ -147,14 +160,7 @@ def initiatives(
         .otherwise("Growth"),
         "quarter": quarter_label(F.col("order_date")),
         "checkpoint": F.concat(F.lit("Month"), (F.month("order_date") - 1) % 3 + 1),
-        "planned_revenue": F.col("l_extendedprice"),
-        "actual_revenue": F.col("l_extendedprice") * (1 - F.col("l_discount")) * (1 + F.col("l_tax")),
-        "planned_otd_pct": F.lit(95),
-        "actual_otd_pct": 82 + F.col("l_tax") * 200,
-        "backlog_days": (F.col("l_orderkey") * 7 + F.col("l_linenumber") * 13 + F.col("l_partkey")) % 91,
-        "customer_adoption_pct": (F.col("p_size") * 2).cast("double"),
-        "gross_margin_pct": 15 + F.col("l_discount") * 350,
-        "budget_utilization_pct": 60 + F.col("l_quantity"),
+        **_plan_and_actuals(),
     }
     fact = star_table(spark, root, "lineitem")
     if wanted & {"quarter", "checkpoint"}:
@@ -196,6 +202,10 @@ def competitor_pricing(spark: SparkSession, root: str) -> DataFrame:
         .groupBy("product_family", "company")
         .agg(exact_mean(F.col("l_extendedprice") / F.col("l_quantity")).alias("avg_price_usd"))
     )
+    return with_own(spark, root, prices)
+
+
+def with_own(spark: SparkSession, root: str, prices: DataFrame) -> DataFrame:
     own = star_table(spark, root, "region").agg(F.min("r_name")).scalar()
     return prices.withColumn("is_own", (F.col("company") == own).cast("int"))
 
@@ -207,6 +217,11 @@ def market_share(spark: SparkSession, root: str) -> DataFrame:
         .groupBy("product_family", "company")
         .agg(exact_sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"))
     )
+    return revenue_shares(revenue)
+
+
+def revenue_shares(revenue: DataFrame) -> DataFrame:
+    """Percent of each company in the revenue of its product family."""
     family = Window.partitionBy("product_family")
     return revenue.select(
         "product_family",
@@ -215,7 +230,7 @@ def market_share(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def _industry(family: Column) -> Column:
+def industry_of(family: Column) -> Column:
     return F.concat(F.lit("IND-"), F.substring(family, 7, 10).cast("int") % 5)
 
 
@@ -228,7 +243,7 @@ def product_industry(spark: SparkSession, root: str) -> DataFrame:
         .distinct()
         .select(
             family,
-            _industry(family).alias("industry"),
+            industry_of(family).alias("industry"),
             F.when(F.substring(family, 7, 10).cast("int") % 3 == 0, "Challenger")
             .otherwise("Leader")
             .alias("market_position"),
@@ -246,15 +261,50 @@ def industry_growth(spark: SparkSession, root: str) -> DataFrame:
     yearly = (
         fact.join(lookup, fact.l_orderkey == lookup.o_orderkey, "left")
         .join(part, fact.l_partkey == part.p_partkey, "left")
-        .groupBy(_industry(F.col("p_brand")).alias("industry"), F.year("order_date").alias("year"))
+        .groupBy(industry_of(F.col("p_brand")).alias("industry"), F.year("order_date").alias("year"))
         .agg(exact_sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"))
     )
+    return yearly_growth(yearly)
+
+
+def yearly_growth(yearly: DataFrame) -> DataFrame:
+    """Growth over the year before in percent, of (industry, year, revenue)."""
     before = F.lag("revenue").over(Window.partitionBy("industry").orderBy("year"))
     return yearly.select(
         "industry", "year", (F.lit(100) * (F.try_divide(F.col("revenue"), before) - 1)).alias("growth_pct")
     )
 
 
+def decision_lines(spark: SparkSession, root: str) -> DataFrame:
+    """Lines with all that the decision surface asks of them, from one read of the fact.
+
+    ``region`` is that of the customer, ``company`` that of the supplier.
+    """
+    line = star_table(spark, root, "lineitem")
+    lookup = _order_lookup(spark, root, {"order_date", "region"})
+    supplier = star_table(spark, root, "supplier").select("s_suppkey", "s_nationkey")
+    regions = _regions(spark, root).withColumnRenamed("region", "company")
+    companies = supplier.join(regions, supplier.s_nationkey == regions.n_nationkey, "left").select("s_suppkey", "company")
+    part = star_table(spark, root, "part").select("p_partkey", "p_brand", "p_size")
+    fact = (
+        line.join(lookup, line.l_orderkey == lookup.o_orderkey, "left")
+        .join(companies, line.l_suppkey == companies.s_suppkey, "left")
+        .join(part, line.l_partkey == part.p_partkey, "left")
+    )
+    return fact.select(
+        F.col("p_brand").alias("product_family"),
+        "region",
+        "company",
+        quarter_label(F.col("order_date")).alias("quarter"),
+        F.year("order_date").alias("year"),
+        (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"),
+        F.col("l_quantity").cast("bigint").alias("quantity"),
+        (F.col("l_discount") * 100).alias("discount_pct"),
+        (F.col("l_extendedprice") / F.col("l_quantity")).alias("unit_price"),
+        *[c.alias(name) for name, c in _plan_and_actuals().items()],
+    )
+
+
 def raw_order_feed(spark: SparkSession, root: str) -> DataFrame:
     """Order lines as an untyped feed: free-form column names, text values."""
 

@@ -1,5 +1,7 @@
 import pytest
+from pyspark.sql import functions as F
 
+from commercium.functions import exact_mean, exact_sum, mean_of_parts, sum_of_parts, sum_parts
 from commercium.plans import decisions, mart, profiles
 from commercium.registry import QUERIES
 
@@ -63,3 +65,39 @@ def test_null_profile(spark):
     df = spark.createDataFrame([(1, None), (2, "x"), (None, None)], "a int, b string")
     got = {r["column_name"]: tuple(r)[1:] for r in profiles.null_profile(df).collect()}
     assert got == {"a": ("int", 1, 3), "b": ("string", 2, 3)}
+
+
+def test_groupings_of_the_cube_equal_those_of_the_lines(spark, root):
+    from commercium import registry
+    from commercium.plans import lifecycle
+    from commercium.sources import star
+
+    def bag(df):
+        return sorted((tuple(r[c] for c in sorted(df.columns)) for r in df.collect()), key=str)
+
+    cube = decisions.line_cube(lifecycle.scored_initiatives(star.decision_lines(spark, root)))
+    assert sum("lineitem" in f for f in cube.inputFiles()) == 1
+    cube = cube.cache()
+    orders = registry._orders(spark, root, "product_family", "region", "order_date", "revenue", "quantity", "discount_pct")
+    assert bag(decisions.cube_pricing(cube)) == bag(decisions.pricing_surface(orders))
+    assert bag(decisions.cube_execution(cube)) == bag(decisions.execution_surface(registry._scored(spark, root)))
+    companies = decisions.cube_companies(cube)
+    prices = star.with_own(spark, root, companies.drop("revenue"))
+    assert bag(prices) == bag(star.competitor_pricing(spark, root))
+    assert bag(star.revenue_shares(companies)) == bag(star.market_share(spark, root))
+    yearly = decisions.cube_yearly(cube, star.industry_of(F.col("product_family")))
+    assert bag(star.yearly_growth(yearly)) == bag(star.industry_growth(spark, root))
+
+
+def test_the_surface_reads_no_fact_but_the_cube(surface):
+    read = surface._jdf.queryExecution().analyzed().toString()
+    assert "l_extendedprice" not in read and "o_orderdate" not in read
+
+
+def test_parts_of_odd_values_add_up(spark):
+    rows = [(1, None), (1, 0.1), (1, 0.2), (2, 1e16), (2, 0.5), (3, None), (4, float("nan")), (4, 1.0), (5, -0.3), (5, 0.3)]
+    df = spark.createDataFrame(rows, "k int, v double").withColumn("i", F.monotonically_increasing_id() % 3)
+    parts = df.groupBy("k", "i").agg(*sum_parts(F.col("v"), "v")).groupBy("k")
+    got = parts.agg(sum_of_parts("v").alias("s"), mean_of_parts("v").alias("m"))
+    want = df.groupBy("k").agg(exact_sum("v").alias("s"), exact_mean("v").alias("m"))
+    assert [str(r) for r in got.orderBy("k").collect()] == [str(r) for r in want.orderBy("k").collect()]
