@@ -179,6 +179,15 @@ def csv_scan_orders(spark, root):
     return readers.read_csv(spark, path, readers.ORDERS_SCHEMA)
 
 
+@query
+def index_file(spark, root):
+    """The monthly index as a file of its own, its value column named by the series, loaded back from text."""
+    series = _index(spark, root).select(F.col("observation_date").alias("DATE"), F.col("ppi_index").alias("SERIES"))
+    path = readers.export_csv(series, scratch_path(spark, "index-csv"))
+    text = readers.read_csv(spark, path, "DATE string, SERIES string")
+    return rounded(readers.load_index(text.withColumnRenamed("DATE", "date")), 4)
+
+
 @query
 def view_scan(spark, root):
     """SQL over a registered view, the other way into every job."""

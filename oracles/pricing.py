@@ -173,6 +173,9 @@ select quarter, {r('ppi_index')} as ppi_index, {_LABEL.format('quarter')} as qua
        {r('ln(ppi_index)', 8)} as log_ppi
 from (select date_trunc('quarter', observation_date)::date as quarter, favg(ppi_index) as ppi_index
       from raw_material_index group by 1) q""", "raw_material_index"),
+    "index_file": with_tables(f"""
+select observation_date, {r('ppi_index')} as ppi_index from raw_material_index
+where observation_date is not null and ppi_index is not null""", "raw_material_index"),
     "ppi_monthly_last": with_tables(f"""
 select date_trunc('month', observation_date)::date as month,
        {r('arg_max(ppi_index, observation_date)')} as ppi_index
