@@ -17,6 +17,7 @@ from commercium.functions import (
     round_half_even,
     round_half_up,
 )
+from commercium.functions import scalars
 
 
 def value(spark, column):
@@ -36,6 +37,19 @@ def test_half_up_rounds_once_and_keeps_what_has_no_places(spark):
     assert value(spark, round_half_up(F.lit(None).cast("double"), 2)) is None
 
 
+def test_half_up_writes_digits_out_only_near_a_half(spark, monkeypatch):
+    generator = random.Random(3)
+    values = [generator.uniform(-1, 1) * 10 ** generator.randint(-5, 14) for _ in range(500)]
+    halves = [(generator.randrange(10**6) + 0.5) / 100 for _ in range(500)]
+    near = [math.nextafter(h, toward) for h in halves for toward in (0, math.inf)]
+    rows = spark.createDataFrame([(v,) for v in [*values, *halves, *near, 0.0, -0.0, -0.001]], "v double")
+    both = rows.select(round_half_up(F.col("v"), 2).alias("a"), scalars._round_written(F.col("v"), 2).alias("b")).collect()
+    assert [math.copysign(1, r.a) * abs(r.a) for r in both] == [r.b for r in both]
+    monkeypatch.setattr(scalars, "_round_written", lambda number, digits: F.raise_error(F.lit("written out")).cast("double"))
+    plain = spark.createDataFrame([(1.234,), (-7.0,), (99999.991,), (0.0,)], "v double")
+    assert [r.v for r in plain.select(round_half_up(F.col("v"), 2).alias("v")).collect()] == [1.23, -7.0, 99999.99, 0.0]
+
+
 def test_exact_sums_do_not_depend_on_order_or_partitions(spark):
     """Values of very unlike size, where a plain sum shows the order of its rows."""
     generator = random.Random(7)
