@@ -79,9 +79,12 @@ def scored_initiatives(initiatives: DataFrame) -> DataFrame:
 
 def initiative_scores(initiatives: DataFrame) -> DataFrame:
     """Full scored table, with the dense rank of the unrounded health in its quarter."""
-    measured = stage(health_measures(initiatives), "health")
-    ranked = value_ranks(measured, "aos_health", ["quarter"], dense_rank="priority_rank")
-    return _persisted(ranked)
+    # The measures are expressions of a row, so only what they are made of is written and shuffled.
+    plain = stage(initiatives, "initiatives")
+    measured = health_measures(plain)
+    keyed = measured.select(*plain.columns, F.col("aos_health").alias("_health"))
+    ranked = value_ranks(keyed, "_health", ["quarter"], dense_rank="priority_rank")
+    return _persisted(health_measures(ranked).select(*measured.columns, "priority_rank"))
 
 
 def quick_risk_level(initiatives: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from commercium.plans import lifecycle, risk
+from commercium.sources import star
 
 INPUT = (
     "initiative_id string, initiative_name string, business_unit string, product_family string, region string, "
@@ -63,6 +64,15 @@ def test_rank_uses_unrounded_health_within_quarter(spark):
     assert (got["I2"][0], got["I1"][0], got["I3"][0]) == (1, 2, 1)
 
 
+def test_scores_write_only_what_they_are_made_of(spark, root, monkeypatch):
+    written, kept = [], lifecycle.stage
+    monkeypatch.setattr(lifecycle, "stage", lambda df, *rest: written.append(df.columns) or kept(df, *rest))
+    rows = star.initiatives(spark, root)
+    scores = lifecycle.initiative_scores(rows)
+    assert written == [rows.columns]
+    assert scores.columns == [*lifecycle.health_measures(rows).columns, "priority_rank"]
+
+
 def test_quick_risk_level_is_another_rule(spark):
     rows = [row(1, 100.0, 100.0, 95.0, 0, 0, 0, 0), row(2, 100.0, 80.0, 90.0, 45, 0, 0, 0), row(3, 100.0, 50.0, 80.0, 400, 0, 0, 0)]
     rows = [tuple(float(v) if 15 <= n else v for n, v in enumerate(r)) for r in rows]
