@@ -83,6 +83,21 @@ def test_models_of_one_sample_share_passes_and_agree_with_single_fits(spark):
         assert together[name].rss == pytest.approx(alone.rss, rel=1e-10)
 
 
+def test_levels_that_a_task_sees_whole_are_not_shuffled(spark, monkeypatch):
+    gathered, original = [], getattr(regression, "_gathered", None)
+
+    def counted(parts, *rest):
+        gathered.append(parts.count())
+        return original(parts, *rest)
+
+    monkeypatch.setattr(regression, "_gathered", counted, raising=False)
+    df = spark.createDataFrame(panel(), NAMES).repartition(4, "sku").sortWithinPartitions("sku")
+    fit = regression.fixed_effects_ols(df, "y", ["p"], "sku", ["quarter", "region"], "sku")
+    assert gathered == [0, 0]
+    assert regression.max_leverage(df, fit).first()[0] == pytest.approx(dense_fit(panel(), ["p"], ["quarter", "region"], "sku")[4], rel=1e-8)
+    assert gathered == [0, 0]
+
+
 def test_collinear_regressor_lowers_the_rank(spark):
     rows = [(*r[:4], 2 * r[3], r[5]) for r in panel()]
     df = spark.createDataFrame(rows, NAMES)
