@@ -83,3 +83,43 @@ def test_a_regressor_inside_the_effects_is_dropped(spark):
 def test_no_rows_are_refused(spark):
     with pytest.raises(ValueError, match="no observations"):
         absorption.absorbed_ols(spark.createDataFrame([], "sku string, q string, p double, y double"), "y", ["p"], ["sku", "q"], "sku")
+
+
+@pytest.mark.parametrize("x, absorb", [(["p"], ["sku", "quarter"]), (["p", "c"], ["sku", "quarter", "region"]), (["p"], ["sku"])])
+def test_few_other_levels_are_solved_without_steps(spark, monkeypatch, x, absorb):
+    """The first effect is taken out in one pass; the gradients' steps, written and shuffled, come to the same."""
+    df = spark.createDataFrame(panel(), NAMES)
+    written, write = [], absorption.stage
+
+    def noted(df, label, **how):
+        written.append(label)
+        return write(df, label, **how)
+
+    monkeypatch.setattr(absorption, "stage", noted)
+    fit = absorption.absorbed_ols(df, "y", x, absorb, "sku")
+    assert written == ["absorbed-rows", "packed-levels", "within"]
+    monkeypatch.setattr(absorption, "few_levels", lambda rows, effects: None)
+    steps = absorption.absorbed_ols(df, "y", x, absorb, "sku")
+    assert (fit.observations, fit.parameters, fit.clusters) == (steps.observations, steps.parameters, steps.clusters)
+    assert fit.coefficients == pytest.approx(steps.coefficients, rel=1e-8)
+    assert fit.covariance == pytest.approx(steps.covariance, rel=1e-7)
+    for moment in ("rss", "tss", "third_moment", "fourth_moment"):
+        assert getattr(fit, moment) == pytest.approx(getattr(steps, moment), rel=1e-7)
+
+
+def test_few_levels_in_parts_that_never_meet(spark, monkeypatch):
+    """A third of the rows on one level, three parts, and a cluster that is no effect."""
+    draw = np.random.default_rng(7)
+    sku = np.where(draw.random(6000) < 1 / 3, 0, draw.integers(0, 300, 6000))
+    quarter = draw.integers(0, 6, 6000) * 3 + sku % 3
+    p = draw.normal(size=6000) + sku % 7 - quarter
+    y = -0.6 * p + sku % 5 + quarter + draw.normal(size=6000)
+    rows = list(zip(sku.tolist(), quarter.tolist(), (draw.integers(0, 40, 6000) * 0.5).tolist(), p.tolist(), y.tolist(), strict=True))
+    df = spark.createDataFrame(rows, "sku int, quarter int, store double, p double, y double").repartition(5)
+    fit = absorption.absorbed_ols(df, "y", ["p"], ["sku", "quarter"], "store")
+    assert fit.parameters == 1 + len(set(sku.tolist())) + 18 - 3 and fit.clusters == 40
+    monkeypatch.setattr(absorption, "few_levels", lambda rows, effects: None)
+    steps = absorption.absorbed_ols(df, "y", ["p"], ["sku", "quarter"], "store")
+    assert fit.parameters == steps.parameters
+    assert fit.coefficients == pytest.approx(steps.coefficients, rel=1e-8)
+    assert fit.covariance == pytest.approx(steps.covariance, rel=1e-7)
