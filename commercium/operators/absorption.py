@@ -172,7 +172,8 @@ def solved_values(
     parameters = packed.count() + size
     for k in many:
         own = slice(int(starts[k - 1]), int(starts[k]))
-        tables.append(spark.createDataFrame([(level, *v) for level, v in zip(levels[k - 1], solved[own].tolist(), strict=True)], schema))
+        values = [(level, *v) for level, v in zip(levels[k - 1], solved[own].tolist(), strict=True)]
+        tables.append(F.broadcast(spark.createDataFrame(values, schema)))
         parameters -= _parts(shared[own, own] > 0)
     return tables, parameters
 

@@ -1,5 +1,7 @@
 """Several absorbed effects against dense regressions, components against a union-find."""
 
+import re
+
 import numpy as np
 import pytest
 
@@ -123,3 +125,20 @@ def test_few_levels_in_parts_that_never_meet(spark, monkeypatch):
     assert fit.parameters == steps.parameters
     assert fit.coefficients == pytest.approx(steps.coefficients, rel=1e-8)
     assert fit.covariance == pytest.approx(steps.covariance, rel=1e-7)
+
+
+def test_rows_shuffle_by_the_first_effect_alone(spark, monkeypatch):
+    plans, write = {}, absorption.stage
+
+    def noted(df, label, **how):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, label, **how)
+
+    monkeypatch.setattr(absorption, "stage", noted)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        absorption.absorbed_ols(spark.createDataFrame(panel(), NAMES), "y", ["p"], ["sku", "quarter", "region"], "sku")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plans["within"].count("SortMergeJoin") == 1 and plans["within"].count("BroadcastHashJoin") == 2
+    assert set(re.findall(r"hashpartitioning\((\w+)#", plans["within"])) == {"_a0", "_level_0"}
