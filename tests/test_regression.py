@@ -1,11 +1,13 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from commercium.operators import regression
 from commercium.plans import elasticity
+from commercium.sources import staging
 
 
 def panel(seed=0, n=900, skus=25):
@@ -98,6 +100,67 @@ def test_levels_that_a_task_sees_whole_are_not_shuffled(spark, monkeypatch):
     assert gathered == [0, 0]
 
 
+@pytest.mark.parametrize("advisory", ["64m", "2k"])
+def test_rows_of_a_table_of_levels_are_not_joined_with_their_means(spark, monkeypatch, advisory):
+    staged, original = {}, regression.stage
+
+    def counted(df, label, *rest):
+        written = original(df, label, *rest)
+        staged[label] = max(staged.get(label, 0), written.count())
+        return written
+
+    monkeypatch.setattr(regression, "stage", counted)
+    rows = panel(n=2000, skus=200)
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", advisory)
+    try:
+        df = staging.stage_levels(spark.createDataFrame(rows, NAMES).repartition(5), "panel", "sku")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    files = len(df.inputFiles())
+    hot = df.where(staging.SCATTERED).count()
+    assert (files == 1 and hot == 0) if advisory == "64m" else (files > 5 and hot > 500)
+    models = {
+        "pooled": regression.Model(("p",), absorb=False),
+        "within": regression.Model(("p",), ("quarter", "region")),
+        "wide": regression.Model(("p", "c"), ("region",)),
+    }
+    fits = regression.fit_models(df, "y", models, "sku")
+    for name, model in models.items():
+        b, se, u, k, _, _ = dense_fit(rows, [*model.x], [*model.categoricals], "sku" if model.absorb else None)
+        assert fits[name].parameters == k and fits[name].observations == len(rows) and not fits[name].dropped
+        assert fits[name].rss == pytest.approx(u @ u, rel=1e-9)
+        assert [fits[name].term(x)["coefficient"] for x in model.x] == pytest.approx(list(b), rel=1e-9)
+        assert [fits[name].term(x)["std_error"] for x in model.x] == pytest.approx(list(se), rel=1e-8)
+    # Only levels at the ends of a stretch, and those that share a file with a hot one.
+    assert staged["centred"] <= (len(rows) * 0.5 if advisory == "64m" else len(rows))
+
+
+def test_levels_between_batches_and_stretches(spark):
+    # (level, stretch, scattered, value): a and d lie at the ends of a stretch, e is in a scattered one.
+    rows = [("a", 1, False), *[("b", 1, False)] * 5, *[("c", 1, False)] * 2, ("d", 1, False), ("d", 2, False), ("e", 2, True), ("f", 2, False), ("g", 2, False)]
+    schema = pa.schema([("sku", pa.string()), ("s", pa.int64()), ("x", pa.bool_()), ("v", pa.float64())])
+    columns = [list(c) for c in zip(*rows, strict=True)] + [[float(i) for i in range(len(rows))]]
+    whole = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+    for step in (1, 2, 3, len(rows)):
+        batches = [whole.slice(i, step) for i in range(0, len(rows), step)]
+        got = pa.Table.from_batches(regression._with_level_means(iter(batches), 1)).to_pylist()
+        assert [r["sku"] for r in got] == [r[0] for r in rows] and [r["v"] for r in got] == columns[-1]
+        seen = {r["sku"]: (r["_rows"], r["_m0"]) for r in got}
+        assert seen == {"a": (0, 0.0), "b": (5, 3.0), "c": (2, 6.5), "d": (0, 0.0), "e": (0, 0.0), "f": (1, 11.0), "g": (0, 0.0)}
+
+
+def test_a_level_of_too_many_rows_is_not_taken_for_whole(monkeypatch):
+    monkeypatch.setattr(regression, "_HELD", 3)
+    keys = ["a", *["b"] * 9, "c", "d"]
+    schema = pa.schema([("sku", pa.string()), ("s", pa.int64()), ("x", pa.bool_()), ("v", pa.float64())])
+    whole = pa.RecordBatch.from_arrays([pa.array(keys), pa.array([1] * 12), pa.array([False] * 12), pa.array([1.0] * 12)], schema=schema)
+    for step in (1, 2, 4):
+        batches = [whole.slice(i, step) for i in range(0, 12, step)]
+        got = pa.Table.from_batches(regression._with_level_means(iter(batches), 1)).to_pylist()
+        assert [r["sku"] for r in got] == keys
+        assert all(r["_rows"] == (1 if r["sku"] == "c" else 0) or r["sku"] == "c" for r in got)
+
+
 def test_collinear_regressor_lowers_the_rank(spark):
     rows = [(*r[:4], 2 * r[3], r[5]) for r in panel()]
     df = spark.createDataFrame(rows, NAMES)
